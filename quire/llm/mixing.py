@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     )
 
 
-def cuts(keyed: DataFrame, goal: DataFrame, digits: int = 4) -> DataFrame:
+def cuts(keyed: DataFrame, goal: DataFrame, digits: int = 3) -> DataFrame:
     """For each source: whole rounds, the key at which its budget ends, and the numbers left for and held by the rows of that key."""
     runs = keyed.groupBy("source", F.substring("key", 1, digits).alias("run")).agg(F.sum("size").alias("run_size"))
     along = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     ranked = sizes.withColumn("weight", weight).withColumn("full", full).withColumn("ratio", F.col("full") / F.col("weight")).withColumn("rate", rate)
-    common = F.min(F.when(F.col("rate") <= F.col("ratio"), F.col("rate"))).over(everything)
+    common = F.max(F.when(F.col("rate") <= F.col("ratio"), F.col("rate"))).over(everything)  # the first: later ones are lower
     return ranked.withColumn("common", common).select(
         "source", "source_size", F.when(F.col("common").isNull(), F.col("full")).otherwise(F.least("full", F.col("common") * F.col("weight"))).alias("target")
     )
@@ -135,7 +135,7 @@ w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, [3, 1, 2][1
 r AS (SELECT *, cap / weight AS ratio,
              (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rate FROM w),
-c AS (SELECT source, source_size, cap, weight, min(CASE WHEN rate <= ratio THEN rate END) OVER () AS common FROM r),
+c AS (SELECT source, source_size, cap, weight, max(CASE WHEN rate <= ratio THEN rate END) OVER () AS common FROM r),
 t AS (SELECT source, source_size, CASE WHEN common IS NULL THEN cap ELSE least(cap, common * weight) END AS target FROM c),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS rounds FROM t),
 p AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.rounds, floor(b.target)::BIGINT - b.rounds * b.source_size AS rest,

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import load, settle_table
 
 BLOCK = 1024
+COLUMNS = ["n", "uids", "ids", "vectors", "reach"]
 
 
 def whole(vectors: np.ndarray, scale: float) -> np.ndarray:
@@ -58,7 +59,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def blocks_of(rows: DataFrame, dims: int, pivots: np.ndarray, scale: float) -> DataFrame:
-    """(block, ids, vectors, reach): reach holds distances to the pivots as 32-bit numbers."""
+    """(block, n, uids, ids, vectors, reach): reach holds distances to the pivots as 32-bit numbers."""
     held = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,21 +72,23 @@ def blocks_of(rows: DataFrame, dims: int, pivots: np.ndarray, scale: float) -> D
                     x[r, : len(v)] = v
                 x = whole(x, scale)
                 narrow = np.float32 if np.abs(x).max(initial=0) < 2**24 else np.float64
-                cols = [part.column("id").to_numpy().tobytes(), x.astype(narrow).tobytes(), distances(x, held.value).astype(np.float32).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], names=["n", "ids", "vectors", "reach"])
+                cols = [part.column("uid").to_numpy().tobytes(), part.column("id").to_numpy().tobytes(), x.astype(narrow).tobytes(), distances(x, held.value).astype(np.float32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], names=["n", "uids", "ids", "vectors", "reach"])
 
-    return rows.mapInArrow(make, "n int, ids binary, vectors binary, reach binary").withColumn("block", F.monotonically_increasing_id())
+    return rows.mapInArrow(make, "n int, uids binary, ids binary, vectors binary, reach binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def opened(n: int, ids: bytes, vectors: bytes, reach: bytes, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def opened(row: dict, dims: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, uids, ids, vectors, reach = (row[prefix + c] for c in COLUMNS)
     kind = np.float32 if len(vectors) == 4 * n * dims else np.float64
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind).reshape(n, dims).astype(np.float64), np.frombuffer(reach, np.float32).reshape(n, -1).astype(np.float64)
+    return np.frombuffer(uids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind).reshape(n, dims).astype(np.float64), np.frombuffer(reach, np.float32).reshape(n, -1).astype(np.float64)
 
 
 def search(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding", k: int = 5, scale: float = 256.0, pivots: int = 32, sample: int = 2000) -> DataFrame:
     """(query_id, rank, id, score) of the k best vectors for each row for which the column is_query holds."""
     finite = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & finite).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
+    rows = settle_table(rows.withColumn("uid", F.monotonically_increasing_id()))  # a row's own number, as ids may repeat
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
     picked = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     seen = np.zeros((len(picked), dims))
@@ -95,41 +98,39 @@ def search(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding"
     seen_ids = np.array([row["id"] for row in picked], np.int64)
     table = choose_pivots(seen, pivots)
     start = vectors.sparkSession.sparkContext.broadcast((seen_ids, seen))
-    index = settle_table(blocks_of(rows.select("id", "v"), dims, table, scale))
-    asked = settle_table(blocks_of(rows.where(F.coalesce("q", F.lit(False))).select("id", "v").repartition(F.xxhash64("id")), dims, table, scale))
+    index = settle_table(blocks_of(rows.select("uid", "id", "v"), dims, table, scale))
+    asked = settle_table(blocks_of(rows.where(F.coalesce("q", F.lit(False))).select("uid", "id", "v").repartition(F.xxhash64("uid")), dims, table, scale))
     wide = max(1, min(asked.count(), 1 << 20))
     groups = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the grid: a query block has a number; a vector block belongs to a group; each pair of both is one key
     asked = asked.withColumn("qb", F.row_number().over(Window.orderBy("block")) - 1)
     left = index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-    right = asked.select("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "vectors", "reach")))
+    right = asked.select("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in COLUMNS))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, q, state = None, None, None
 
         def done() -> pa.RecordBatch:
-            ids, _, _ = q
-            out = [(int(ids[r]), at, r, int(c), int(s)) for r, (scores, cands) in enumerate(state) for s, c in zip(scores, cands)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], names=["query_id", "qb", "row", "id", "score"])
+            out = [(int(q[0][r]), int(q[1][r]), int(c), int(s)) for r, (scores, cands) in enumerate(state) for s, c in zip(scores, cands)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["query", "query_id", "id", "score"])
 
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if row["qb"] != at:
                     if at is not None:
                         yield done()
-                    at, q = row["qb"], opened(row["q_n"], row["q_ids"], row["q_vectors"], row["q_reach"], dims)
+                    at, q = row["qb"], opened(row, dims, "q_")
                     floor = floors(q, *start.value, k)
                     state = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(row["q_n"])]
-                x = opened(row["n"], row["ids"], row["vectors"], row["reach"], dims)
+                x = opened(row, dims)
                 for r in range(row["q_n"]):
-                    state[r] = scan(q[0][r], q[1][r], q[2][r], x, state[r], floor[r], k)
+                    state[r] = scan(q[0][r], q[2][r], q[3][r], x, state[r], floor[r], k)
         if at is not None:
             yield done()
 
-    joined = left.join(right, ["qb", "g"]).select("qb", "n", "ids", "vectors", "reach", "q_n", "q_ids", "q_vectors", "q_reach")
-    found = joined.sortWithinPartitions("qb").mapInArrow(meet, "query_id long, qb long, row long, id long, score long")
-    # a query finds itself in one place; that row is not a candidate
-    own = Window.partitionBy("query_id", "qb", "row").orderBy(F.col("score").desc(), "id")
+    joined = left.join(right, ["qb", "g"]).select("qb", *COLUMNS, *(f"q_{c}" for c in COLUMNS))
+    found = joined.sortWithinPartitions("qb").mapInArrow(meet, "query long, query_id long, id long, score long")
+    own = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
@@ -138,20 +139,18 @@ def floors(q, ids: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
     """A score that the k-th best of each query reaches at least: the k-th best of the sample without its own id."""
     if len(ids) <= k:
         return np.full(len(q[0]), -np.inf)
-    scores = q[1] @ seen.T
-    scores[q[0][:, None] == ids[None, :]] = -np.inf
+    scores = q[2] @ seen.T
+    scores[q[1][:, None] == ids[None, :]] = -np.inf
     return np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
 
 
 def scan(own: int, v: np.ndarray, reach: np.ndarray, block, state, floor: float, k: int, step: int = 64):
     """The state (scores, ids) of a query after one more block."""
-    ids, x, far = block
+    uids, ids, x, far = block
     norms = (x * x).sum(axis=1)
     low = np.abs(far - reach).max(axis=1, initial=0.0) * (1 - 1e-6) - 1e-3  # distances are kept as 32-bit numbers
     bound = (v @ v + norms - np.maximum(low, 0) ** 2) / 2 + 0.5
-    mine = np.flatnonzero((ids == own) & (x == v).all(axis=1))
-    if len(mine):
-        bound[mine[0]] = -np.inf
+    bound[uids == own] = -np.inf
     scores, cands = state
     edge = max(floor, scores[-1]) if len(scores) == k else floor
     order = np.flatnonzero(bound >= edge)

@@ -17,8 +17,7 @@ from quire.llm.quality_rules import judge
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    judged = judge(docs, carry=list(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    return judge(docs, carry=list(docs.columns), prefix="rules__").where("rules__kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

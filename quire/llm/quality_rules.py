@@ -151,8 +151,8 @@ def estimates(vectors: DataFrame, share: float = 0.75, steps: int = 6, least: in
     return settle(factored(inner.groupBy("g").agg(*moments()), ["g"], 0.975 / chi2_even(chi2_point(0.975, P // 2), P // 2 + 1)))
 
 
-def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", reject: float = 1e-7, least: int = 80, carry: list[str] | None = None) -> DataFrame:
-    """The `carry` columns of every row (all but the text if not given) with the statistics, base_failed, distance and kept."""
+def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", reject: float = 1e-7, least: int = 80, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The `carry` columns of every row (all but the text if not given) with the statistics, base_failed, kept and distance2, these with a prefix."""
     carry = [c for c in docs.columns if c != text_col] if carry is None else carry
     named = [F.col(c).alias(f"in_{k}") for k, c in enumerate(carry)]
     stats = docs.select(*named, F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"), words(F.col(text_col)).alias("ws"), *(c.alias(n) for n, c in base_statistics(F.col(text_col)).items()))
@@ -172,7 +172,7 @@ def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source"
     joined = joined.withColumn("e", F.coalesce("e0", "e1", "e2")).select("*", "e.*").withColumn("d2", squared_distance())
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi2_point(1 - reject, P // 2)))
     return joined.select(
-        *(F.col(f"in_{k}").alias(c) for k, c in enumerate(carry)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2")
+        *(F.col(f"in_{k}").alias(c) for k, c in enumerate(carry)), *(F.col(c).alias(prefix + c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), kept.alias(f"{prefix}kept"), F.col("d2").alias(f"{prefix}distance2")
     )
 
 

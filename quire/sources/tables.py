@@ -74,7 +74,8 @@ def search_digests(hits: DataFrame, most: int = 3, chars: int = 240) -> DataFram
 
 def write_markdown(rendered: DataFrame, path: str) -> None:
     """rendered (output_path, md) as one text file each in a folder of its name, replaced as a whole."""
-    rendered.select("output_path", F.col("md").alias("value")).repartition("output_path").write.mode("overwrite").option("lineSep", "").partitionBy("output_path").text(path)
+    rows = rendered.select("output_path", F.regexp_replace("md", "\n$", "").alias("value"))  # the writer ends it with a line break
+    rows.repartition("output_path").write.mode("overwrite").partitionBy("output_path").text(path)
 
 
 def run_log(summary: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import load, settle_table
+from quire.llm.common import load, settle, settle_table, small
 
 BLOCK = 1024
 COLUMNS = ["n", "uids", "ids", "vectors", "reach"]
@@ -75,7 +75,7 @@ def blocks_of(rows: DataFrame, dims: int, pivots: np.ndarray, scale: float) -> D
                 cols = [part.column("uid").to_numpy().tobytes(), part.column("id").to_numpy().tobytes(), x.astype(narrow).tobytes(), distances(x, held.value).astype(np.float32).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], names=["n", "uids", "ids", "vectors", "reach"])
 
-    return rows.mapInArrow(make, "n int, uids binary, ids binary, vectors binary, reach binary").withColumn("block", F.monotonically_increasing_id())
+    return rows.mapInArrow(make, "n int, uids binary, ids binary, vectors binary, reach binary")
 
 
 def opened(row: dict, dims: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,12 +98,15 @@ def search(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding"
     seen_ids = np.array([row["id"] for row in picked], np.int64)
     table = choose_pivots(seen, pivots)
     start = vectors.sparkSession.sparkContext.broadcast((seen_ids, seen))
-    index = settle_table(blocks_of(rows.select("uid", "id", "v"), dims, table, scale))
-    asked = settle_table(blocks_of(rows.where(F.coalesce("q", F.lit(False))).select("uid", "id", "v").repartition(F.xxhash64("uid")), dims, table, scale))
+    index = settle_table(blocks_of(rows.select("uid", "id", "v"), dims, table, scale).withColumn("block", F.monotonically_increasing_id()))
+    wanted = rows.where(F.coalesce("q", F.lit(False))).select("uid", "id", "v")
+    full = max(1, -(-wanted.count() * 5 // (BLOCK * 4)))  # partitions, so that a query block is nearly full
+    asked = settle_table(blocks_of(wanted.repartition(full), dims, table, scale).withColumn("block", F.monotonically_increasing_id()))
     wide = max(1, min(asked.count(), 1 << 20))
     groups = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the grid: a query block has a number; a vector block belongs to a group; each pair of both is one key
-    asked = asked.withColumn("qb", F.row_number().over(Window.orderBy("block")) - 1)
+    numbers = settle(asked.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("qb")))
+    asked = asked.join(small(numbers), "block")
     left = index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
     right = asked.select("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in COLUMNS))
 

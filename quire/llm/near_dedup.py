@@ -2,7 +2,7 @@
 
 Words are lower-cased in A-Z; a document's set holds its distinct word shingles as 64-bit hashes. One permutation: the hash range is cut into
 bins, and a bin's value is its least hash. An empty bin takes the value of the first full bin in an order of its own (optimal
-densification). Bands of bins make buckets; 48 bands of 7 bins miss a pair at similarity 0.85 with probability below 1e-8.
+densification). Bands of bins make buckets; at 0.85 there are 48 bands of 7 bins, which miss a pair with probability 1e-8.
 
 Documents with equal sets are first put together: one of them stands for all. Then buckets are worked through in rounds. In a round every
 bucket has a few centres, each member is paired with the centres of its bucket only (a star), pairs are confirmed on full sets, and the
@@ -15,6 +15,7 @@ is linked with nothing, has a null component and is kept; an empty table gives a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,72 +148,66 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v) links to (id, component): the least id reachable, by alternating large and small stars until nothing changes."""
+    """(u, v) links to (id, component): the least id reachable, by alternating large and small stars until only stars are left: every u has one
+    v, and no v is a u. Links that are such stars already need no round."""
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-
-    def state(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    was = state(now)
-    while was[0]:
+    while True:
+        ends = now.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+        if ends.join(now.select(F.col("v").alias("u"), F.lit(True).alias("hub")).distinct(), "u", "left").where("a <> b or hub").isEmpty():
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(near).distinct()
-        now = settle(small)
-        is_now = state(now)
-        if is_now == was:
-            break
-        was = is_now
-    ends = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return settle(ends.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(ends, "id", "left_anti")))
+        now = settle(large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(near).distinct())
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (u, v) those that are links, by their full sets."""
+    one = lambda c: shingles.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    both = pairs.join(one("u"), "u").join(one("v"), "v").withColumn("common", F.size(F.array_intersect("set_u", "set_v")))
+    return both.where(100 * F.col("common") >= percent * (F.size("set_u") + F.size("set_v") - F.col("common"))).select("u", "v").distinct()
+
 
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80, rows: int = 7, miss: float = 1e-8, growth: int = 8) -> DataFrame:
+    """(id, n_shingles, component_id) for each row, of links with 100 * intersection >= percent * union.
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80, bands: int = 48, rows: int = 7) -> DataFrame:
-    """(id, n_shingles, component_id) for each row, of links with 100 * intersection >= percent * union."""
+    There are as many bands of `rows` bins as leave a pair at the threshold apart with probability `miss`.
+    growth: from round to round a bucket has so many times the centres; the number of rounds is the logarithm of the largest bucket's unlinked members."""
+    bands = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
     sketches = settle_table(sketch(docs, id_col, text_col, k, bands, rows))
     filled = sketches.where((F.col("n") > 0) & F.col("id").isNotNull())
     # the least id stands for all with its set; equal sets have equal bands
     sets = settle_table(filled.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     members = sets.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    active = settle(members.join(crowded, "bucket"))
-    links = tested = comps = None
-    shingles = None
+    live = settle(members.join(crowded, "bucket").withColumn("comp", F.col("id")))
+    shingles = links = tested = comps = None
     centres, turn = 1, 0
-    while not active.isEmpty():
+    while not live.isEmpty():
         if shingles is None:
-            held = active.select(F.col("id").alias(id_col)).distinct()
+            held = live.select(F.col("id").alias(id_col)).distinct()
             shingles = settle_table(full_sets(docs.select(id_col, text_col).join(held, id_col, "left_semi"), id_col, text_col, k))
-        live = active.withColumn("comp", F.col("id"))
-        if comps is not None:
-            live = active.join(comps.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            open_ = live.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-            live = settle(live.join(open_, "bucket"))
-            if live.isEmpty():
-                break
-        live = live.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(centres)))
-        chosen = settle(live.groupBy("bucket", "part").agg(F.min_by(F.struct("id", "n", "comp"), F.col("id")).alias("c")))
+        placed = live.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(centres)))
+        chosen = settle(placed.groupBy("bucket", "part").agg(F.min(F.struct("id", "n", "comp")).alias("c")))
         star = live.join(chosen.select("bucket", "c"), "bucket").where(
             (F.col("comp") != F.col("c.comp")) & (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n")))
         )
         pairs = star.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = settle(pairs)
-        one = lambda c: shingles.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
-        both = pairs.join(one("u"), "u").join(one("v"), "v")
-        common = F.size(F.array_intersect("set_u", "set_v"))
-        found = both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("set_u") + F.size("set_v") - F.col("common"))).select("u", "v")
-        found = settle(found)
-        tested = pairs if tested is None else settle(tested.union(pairs))
-        links = found if links is None else settle(links.union(found))
-        comps = components(links)
-        active = live.join(chosen.select("bucket", "part", F.col("c.id").alias("gone")), ["bucket", "part"]).where("id <> gone").select("bucket", "id", "n")
-        left = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-        active = settle(active.join(left, "bucket"))
-        centres, turn = centres * 2, turn + 1
+        pairs = settle(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        found = settle(confirmed(pairs, shingles, percent))
+        tested = pairs if tested is None else tested.union(pairs)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            comps = components(links)
+        # centres have met all of their bucket; a bucket whose rest is of one component has no more to find
+        rest = placed.join(chosen.select("bucket", "part", F.col("c.id").alias("gone")), ["bucket", "part"]).where("id <> gone").select("bucket", "id", "n")
+        rest = rest.withColumn("comp", F.col("id")) if comps is None else rest.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        rest = settle(rest)
+        more = rest.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
+        live = settle(rest.join(more, "bucket"))
+        centres, turn = centres * growth, turn + 1
     sets = sets.drop("bands")
     owner = sets if comps is None else sets.join(comps, "id", "left")
     owner = owner.withColumn("component", F.col("id") if comps is None else F.coalesce("component", "id"))

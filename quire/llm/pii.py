@@ -39,10 +39,12 @@ _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _cyrillic = "|".join(t for ts in CYRILLIC_TITLES.values() for t in ts)
 _han = "|".join(t for ts in HAN_TITLES.values() for t in ts)
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_cued = r"\b(?:token|password|passwd|secret|api_?key) ?[=:] ?[\"']?[A-Za-z0-9_+/=-]{8,}+"
+_hex = r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}\b"
 #: Java patterns of the kinds; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"\b(?:token|password|passwd|secret|api_?key) ?[=:] ?[\"']?[A-Za-z0-9_+/=-]{8,}+|\b(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}\b",
+    "secret": rf"{_cued}|{_hex}",
     "name": rf"\b(?:{_titles})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+){{0,2}}|(?:{_cyrillic}) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+){{0,2}}|[{''.join(HAN_FAMILY)}]\p{{IsHan}}{{1,2}}(?={_han})",
     "ip": rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?!\d|\.\d)",
     "account": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
@@ -52,7 +54,7 @@ PATTERNS = {
 }
 _numeric = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "card", "identity", "phone"))
 #: All kinds but e-mail addresses; a look at the first character saves most places the rest.
-PLAIN = rf"(?=[tpsa0-9])(?:{PATTERNS['secret']})|(?=[A-Z{''.join(HAN_FAMILY)}гж])(?:(?:{PATTERNS['name']})|(?:{PATTERNS['account']}))|(?=[0-9+(])(?:{_numeric})"
+PLAIN = rf"(?=[tpsa]){_cued}|(?=[0-9a-f]){_hex}|(?=[A-Z{''.join(HAN_FAMILY)}гж])(?:(?:{PATTERNS['name']})|(?:{PATTERNS['account']}))|(?=[0-9+(])(?:{_numeric})"
 ANY = rf"(?:{PATTERNS['email']})|{PLAIN}"
 #: What a text must hold somewhere to have any of them.
 HINT = rf"[0-9@]|(?=[tpsa])(?:token|password|passwd|secret|api_?key) ?[=:]|(?=[A-Zгж])(?:{_titles}|{_cyrillic})\b|{_han}"

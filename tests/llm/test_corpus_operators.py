@@ -382,6 +382,15 @@ def test_pii(spark, empty):
     assert sorted(map(repr, pii.replace(df.repartition(3)).collect())) == sorted(map(repr, pii.replace(df).collect()))
 
 
+def test_guards_lose_no_mention(spark):
+    rows = [f"key {c}eadbee{k}0123456789deadbeef01234567 of {k}" for k, c in enumerate("0123456789abcdef")] + [r[1] for r in PEOPLE] + list(TEXTS.values()) + ["госпожа Ольга Белова", "г-н Белов", "Mme Blanc", "DE89 3704 0044 0532 0130 00", "王伟先生", "api_key: abcdefgh"]
+    df = spark.createDataFrame([(t,) for t in rows], "text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")).where("text is not null")
+    unguarded = "|".join(f"(?:{p})" for p in pii.PATTERNS.values())
+    got = df.select("text", pii.mentions(F.col("text")).alias("m"), F.regexp_extract_all("text", F.lit(unguarded), F.lit(0)).alias("every")).collect()
+    assert [r["m"] for r in got] == [r["every"] for r in got] and any(r["m"] for r in got)
+    assert all(len(r["m"]) == 1 for r in got if r["text"].startswith("key "))
+
+
 def test_colliding_surrogates_are_hashed_again(spark):
     df = spark.createDataFrame([(i, f"host 10.0.{i // 250}.{i % 250 + 1} up") for i in range(600)], "doc_id long, text string")
     again = pii.hashed_again(df, "text", "quire").collect()

@@ -225,15 +225,23 @@ def named(keys: np.ndarray) -> tuple[np.ndarray, int]:
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes of s in order, by the difference cover {1, 2} modulo 3; suffixes that agree on `depth` letters may stand in any order.
 
-    s: numbers from 1 to below 2**20, at most 2**20 of them."""
+    s: numbers from 1 to below 2**30, below 2**30 of them."""
     n = len(s)
     if n < 3 or depth <= 1:
         return np.argsort(s, kind="stable") if depth <= 1 else np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     bits = int(max(int(s.max()), n)).bit_length() + 1
+    if bits > 31:
+        raise ValueError("more letters than a pair of them has bits for")
     t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+
+    def pairs(i: np.ndarray) -> np.ndarray:
+        """Numbers in the order of the two letters at each place, of few enough bits for a third beside them; they compare within one call."""
+        two_letters = (t[i] << bits) | t[i + 1]
+        return two_letters if 3 * bits <= 63 else named(two_letters)[0]
+
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # the former with an empty one at n, which parts the names of both
     sample = np.concatenate([one, two])
-    names, distinct = named((t[sample] << (2 * bits)) | (t[sample + 1] << bits) | t[sample + 2])
+    names, distinct = named((pairs(sample) << bits) | t[sample + 2])
     if distinct == len(sample) or depth <= 3:
         order = np.argsort(names, kind="stable")
     else:
@@ -247,8 +255,9 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     zero_order = np.argsort(pair, kind="stable")
     zero, pair = zero[zero_order], pair[zero_order]
     ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    triple = lambda i: (t[i] << (2 * bits)) | (t[i + 1] << bits) | rank[i + 2]
-    place = np.arange(len(zero)) + np.searchsorted((t[ones] << bits) | rank[ones + 1], pair) + np.searchsorted(triple(twos), triple(zero))
+    both = np.concatenate([twos, zero])
+    triple = (pairs(both) << bits) | rank[both + 2]
+    place = np.arange(len(zero)) + np.searchsorted((t[ones] << bits) | rank[ones + 1], pair) + np.searchsorted(triple[: len(twos)], triple[len(twos) :])
     out = np.empty(n, np.int64)
     rest = np.ones(n, bool)
     # suffixes that agree beyond the depth may compare either way; keep places distinct and ascending
@@ -341,7 +350,7 @@ def sorted_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, le
         groups = np.append(np.flatnonzero(new), len(order))
         ends = np.cumsum(size[order])
         a = 0
-        while a < len(groups) - 1:  # whole classes, up to `most` bytes or one class
+        while a < len(groups) - 1:  # whole groups, up to `most` bytes or one group, however large
             base = ends[groups[a] - 1] if groups[a] else 0
             b = max(a + 1, int(np.searchsorted(ends[groups[1:] - 1], base + most, side="right")))
             part = order[groups[a] : groups[b]]

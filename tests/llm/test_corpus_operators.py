@@ -218,6 +218,25 @@ def test_suffix_array():
         assert heads == sorted(heads)
 
 
+def test_suffix_array_of_large_letters():
+    for seed in range(20):
+        r = random.Random(seed)
+        few = [r.randint(1, 2**30 - 1) for _ in range(6)]
+        s = np.array([r.choice(few) for _ in range(300)], np.int64)
+        assert suffix_dedup.suffix_array(s, 10**6).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_array(np.array([1, 2**30, 2, 3], np.int64), 10)
+
+
+def test_repeats_in_a_group_of_many_bytes():
+    rng = np.random.default_rng(3)
+    distinct = rng.integers(0, 256, (20_000, 150), dtype=np.uint8)
+    text = np.concatenate([distinct, distinct[rng.permutation(20_000)]]).ravel()
+    starts = (np.arange(40_000)[:, None] * 150 + np.arange(0, 50, 7)).ravel()
+    gone = suffix_dedup.repeated_starts(text, starts, 100, np.arange(len(starts)))
+    assert (gone == (starts >= 20_000 * 150)).all()
+
+
 def statistics(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = collections.Counter(zip(w, w[1:], w[2:]))

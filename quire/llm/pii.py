@@ -39,8 +39,9 @@ _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _cyrillic = "|".join(t for ts in CYRILLIC_TITLES.values() for t in ts)
 _han = "|".join(t for ts in HAN_TITLES.values() for t in ts)
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_cued = r"\b(?:token|password|passwd|secret|api_?key) ?[=:] ?[\"']?[A-Za-z0-9_+/=-]{8,}+"
-_hex = r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}\b"
+_cues = "(?i:token|password|passwd|secret|api_?key) ?[=:]"
+_cued = rf"\b{_cues} ?[\"']?[A-Za-z0-9_+/=-]{{8,}}+"
+_hex = r"\b(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}+\b"
 #: Java patterns of the kinds; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -54,17 +55,19 @@ PATTERNS = {
 }
 _numeric = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "card", "identity", "phone"))
 #: All kinds but e-mail addresses; a look at the first character saves most places the rest.
-PLAIN = rf"(?=[tpsa]){_cued}|(?=[0-9a-f]){_hex}|(?=[A-Z{''.join(HAN_FAMILY)}гж])(?:(?:{PATTERNS['name']})|(?:{PATTERNS['account']}))|(?=[0-9+(])(?:{_numeric})"
+PLAIN = rf"(?=[tpsaTPSA]){_cued}|(?=[0-9a-fA-F]){_hex}|(?=[A-Z{''.join(HAN_FAMILY)}гж])(?:(?:{PATTERNS['name']})|(?:{PATTERNS['account']}))|(?=[0-9+(])(?:{_numeric})"
 ANY = rf"(?:{PATTERNS['email']})|{PLAIN}"
 #: What a text must hold somewhere to have any of them.
-HINT = rf"[0-9@]|(?=[tpsa])(?:token|password|passwd|secret|api_?key) ?[=:]|(?=[A-Zгж])(?:{_titles}|{_cyrillic})\b|{_han}"
-CUE = r"^(?:token|password|passwd|secret|api_?key) ?[=:] ?[\"']?"
+HINT = rf"[0-9@]|(?=[tpsaTPSA]){_cues}|(?=[A-Zгж])(?:{_titles}|{_cyrillic})\b|{_han}"
+CUE = rf"^{_cues} ?[\"']?"
+#: Secrets whose case doesn't matter: hex of one case, and hex so long that it is no password.
+HEX = "^(?:[0-9a-f]+|[0-9A-F]+|[0-9a-fA-F]{32,})$"
 HAN_NAME = r"^\p{IsHan}{2,3}$"
 TITLE = rf"^(?:(?:{_titles})\.?|{_cyrillic}) "
 
 
 def kind_of(mention: Column) -> Column:
-    found = F.when(mention.contains("@") & ~mention.rlike(CUE), "email").when(mention.rlike(CUE) | mention.rlike(r"^[0-9a-f]{32,64}$"), "secret")
+    found = F.when(mention.contains("@") & ~mention.rlike(CUE), "email").when(mention.rlike(CUE) | mention.rlike("^[0-9a-fA-F]{32,}$"), "secret")
     found = found.when(mention.rlike(TITLE) | mention.rlike(HAN_NAME), "name").when(mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip").when(mention.rlike(r"^[A-Z]{2}\d{2}"), "account")
     return found.when(mention.rlike(rf"^(?:{PATTERNS['card']})$"), "card").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "identity").otherwise("phone")
 
@@ -73,7 +76,7 @@ def normal(kind: Column, mention: Column) -> Column:
     """What all mentions of an entity share."""
     return (
         F.when(kind == "email", F.lower(mention))
-        .when(kind == "secret", F.regexp_replace(mention, CUE, ""))
+        .when(kind == "secret", let(F.regexp_replace(mention, CUE, ""), lambda value: F.when(value.rlike(HEX), F.lower(value)).otherwise(value)))
         .when(kind == "name", F.concat(gender(mention), F.lit(":"), F.lower(F.regexp_replace(mention, TITLE, ""))))
         .when(kind == "ip", mention)
         .otherwise(F.upper(F.regexp_replace(mention, r"[^A-Za-z0-9]", "")))
@@ -171,9 +174,10 @@ def rendered(kind: Column, mention: Column, made: Column) -> Column:
         "",
     )
     upper = F.when(mention.rlike("^[^a-z]+$"), F.upper(made)).otherwise(made)
+    secret = F.when(F.regexp_replace(mention, CUE, "").rlike("^[0-9]*[A-F][0-9A-F]*$"), F.upper(made)).otherwise(made)
     return (
         F.when(kind == "email", upper)
-        .when(kind == "secret", F.concat(F.regexp_extract(mention, f"({CUE})", 1), made))
+        .when(kind == "secret", F.concat(F.regexp_extract(mention, f"({CUE})", 1), secret))
         .when(kind == "name", F.concat(F.regexp_extract(mention, f"({TITLE})", 1), made))
         .when(kind == "ip", made)
         .otherwise(filled)

@@ -410,6 +410,20 @@ def test_guards_lose_no_mention(spark):
     assert all(len(r["m"]) == 1 for r in got if r["text"].startswith("key "))
 
 
+def test_secrets_in_any_case(spark):
+    low = "9233a8ecf7c5d1e0b4a69233a8ecf7c5d1e0b4a6"
+    rows = [f"token = '{low}' here", f'TOKEN = "{low.upper()}" here', f"digest {low.upper()} here", f"digest {low} here", "Password: Tr0ubadour-x here", "API_KEY=tr0ubadour-x here", "ApiKey: DeadBeef here", f"long {low * 2} here", f"long {(low * 2).upper()} here", "SECRET:ABCDEFGHIJ here", f"hex {low[:20]}{low[20:].upper()} here"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["pii_entities"]) for r in pii.replace(df).collect()}
+    assert all(got[i][1] == 1 and got[i][0] != t and got[i][0].endswith(" here") for i, t in enumerate(rows))
+    text = [got[i][0] for i in range(len(rows))]
+    made = re.fullmatch("token = '([0-9a-f]{40})' here", text[0])[1]
+    assert text[1:4] == [f'TOKEN = "{made.upper()}" here', f"digest {made.upper()} here", f"digest {made} here"]  # one secret, one surrogate
+    assert text[10] == f"hex {made} here" and text[8] == f"long {text[7].split()[1].upper()} here"
+    assert re.fullmatch(r"Password: [A-Z][a-z]\d[a-z]{7}-[a-z] here", text[4]) and text[5].startswith("API_KEY=") and text[4][10:] != text[5][8:]  # case tells passwords apart
+    assert re.fullmatch("ApiKey: [A-Z][a-z]{3}[A-Z][a-z]{3} here", text[6]) and re.fullmatch("SECRET:[A-Z]{10} here", text[9])
+
+
 def test_colliding_surrogates_are_hashed_again(spark):
     df = spark.createDataFrame([(i, f"host 10.0.{i // 250}.{i % 250 + 1} up") for i in range(600)], "doc_id long, text string")
     again = pii.hashed_again(df, "text", "quire").collect()

@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ from quire.llm.common import load
 
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "bars", "marks", "commas", "full_stops", "high_bytes", "letters",
-    "line_words", "distinct_words", "distinct_lines", "same_next", "long_words", "short_words", "probe_word", "blanks",
+    "line_words", "distinct_words", "distinct_lines", "same_next", "long_words", "short_words", "top_word", "blanks",
 ]
 
 #: Classes of bytes that are counted.
@@ -47,14 +48,13 @@ def vector(text: str | None) -> list[float]:
     rate = {name: float(counts[list(chars)].sum()) / n for name, chars in CLASSES.items()}
     lines = [x for x in raw.split(b"\n") if x]
     sizes = list(map(len, words))
-    distinct = set(words)
+    times = Counter(words)
     same = sum(map(bytes.__eq__, words[1:], words)) if words else 0
-    # the first, a middle and the last word stand for the most frequent one: an exact count would cost as much as all else
-    probe = max((words.count(w) for w in {words[0], words[len(words) // 2], words[-1]}), default=0) if words else 0
+    most = max(times.values(), default=0)
     return [
         math.log1p(len(raw)), math.log1p(len(words)), sum(sizes) / m, rate["upper"], rate["digits"], rate["symbols"], rate["bars"], rate["marks"], rate["commas"], rate["full_stops"],
-        rate["high_bytes"], rate["letters"], len(words) / max(len(lines), 1), len(distinct) / m, len(set(lines)) / max(len(lines), 1), same / m,
-        sum(s > 12 for s in sizes) / m, sum(s < 4 for s in sizes) / m, probe / m, rate["blanks"],
+        rate["high_bytes"], rate["letters"], len(words) / max(len(lines), 1), len(times) / m, len(set(lines)) / max(len(lines), 1), same / m,
+        sum(s > 12 for s in sizes) / m, sum(s < 4 for s in sizes) / m, most / m, rate["blanks"],
     ]
 
 

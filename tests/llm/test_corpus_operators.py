@@ -439,5 +439,13 @@ def test_names_stay_apart_when_the_lists_are_short(spark):
     assert len(set(got)) == len(names)
 
 
+def test_most_frequent_word_is_counted_wherever_it_stands():
+    share = quality_classifier.vector
+    for text in ("first flood flood other flood flood last", "first second flood flood third flood last", "flood flood middle one flood last"):
+        count = collections.Counter(text.split()).most_common(1)[0][1]
+        assert share(text)[-2] == count / len(text.split())
+    assert share("")[-2] == share(None)[-2] == 0
+
+
 def test_removed_bytes_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

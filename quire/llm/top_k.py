@@ -84,6 +84,12 @@ def opened(row: dict, dims: int, prefix: str = "") -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(uids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind).reshape(n, dims).astype(np.float64), np.frombuffer(reach, np.float32).reshape(n, -1).astype(np.float64)
 
 
+def numbered(blocks: DataFrame, wide: int, step: int = 1 << 16) -> DataFrame:
+    """blocks with each number qb of a query block, from 0 to below wide; in two steps, so that no row holds all numbers at once."""
+    first = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(wide, 1) - 1).cast("long"), F.lit(step).cast("long"))))
+    return first.withColumn("qb", F.explode(F.sequence("qb", F.least(F.col("qb") + step, F.lit(max(wide, 1)).cast("long")) - 1)))
+
+
 def search(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding", k: int = 5, scale: float = 256.0, pivots: int = 32, sample: int = 2000) -> DataFrame:
     """(query_id, rank, id, score) of the k best vectors for each row for which the column is_query holds."""
     finite = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -102,12 +108,12 @@ def search(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding"
     wanted = rows.where(F.coalesce("q", F.lit(False))).select("uid", "id", "v")
     full = max(1, -(-wanted.count() * 5 // (BLOCK * 4)))  # partitions, so that a query block is nearly full
     asked = settle_table(blocks_of(wanted.repartition(full), dims, table, scale).withColumn("block", F.monotonically_increasing_id()))
-    wide = max(1, min(asked.count(), 1 << 20))
+    wide = asked.count()
     groups = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the grid: a query block has a number; a vector block belongs to a group; each pair of both is one key
-    numbers = settle(asked.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("qb")))
+    numbers = settle(asked.select("block", (F.row_number().over(Window.orderBy("block")) - 1).cast("long").alias("qb")))
     asked = asked.join(small(numbers), "block")
-    left = index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    left = numbered(index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))), wide)
     right = asked.select("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *(F.col(c).alias(f"q_{c}") for c in COLUMNS))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -447,5 +447,11 @@ def test_most_frequent_word_is_counted_wherever_it_stands():
     assert share("")[-2] == share(None)[-2] == 0
 
 
+def test_every_query_block_is_met(spark):
+    for wide in (1, 5, 65_536, 65_537, (1 << 20) + 3):
+        got = top_k.numbered(spark.range(1), wide).agg(F.count("qb"), F.countDistinct("qb"), F.min("qb"), F.max("qb")).first()
+        assert tuple(got) == (wide, wide, 0, wide - 1)
+
+
 def test_removed_bytes_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,6 @@ def table(arrow):
 
 @pytest.fixture(scope="module")
 def duck():
-    duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
@@ -34,7 +34,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_as_sql(spark, duck, name):
     mine = table(catalog.QUERIES[name](spark, SF_DIR).toArrow())
-    theirs = table(duck.execute(catalog.ORACLES[name]).fetch_arrow_table())
+    theirs = table(duck.sql(catalog.ORACLES[name]).to_arrow_table())
     assert mine[0] == theirs[0]
     assert mine[1] == theirs[1]
 

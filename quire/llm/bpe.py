@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import base64
 import unicodedata
+from itertools import batched
 
 import numpy as np
 
@@ -17,15 +17,16 @@ LONG = 64
 
 
 class Encoder:
-    """ids(texts): for each text its ids, equal to those of the same vocabulary in the tokenizers library.
+    """ids(texts): for each text its ids, by the tokenizers library from the JSON of a byte-level vocabulary.
 
-    Pre-tokens are known by 64-bit hashes. The table of merged ones is dropped when it holds `most` entries."""
+    The library merges every distinct pre-token once; it would take ten times as long for whole texts. Pre-tokens are known by 64-bit
+    hashes. The table of merged ones is dropped when it holds `most` entries."""
 
-    def __init__(self, ranks: bytes, most: int = 500_000):
-        import tiktoken
+    def __init__(self, vocabulary: str, most: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
-        self.core = tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=table, special_tokens={})._core_bpe
+        self.library = Tokenizer.from_str(vocabulary)
+        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # what it gets is one pre-token
         self.most = most
         self.kinds = np.full(0x110000, UNSEEN, np.uint8)
         self.powers = np.ones(1, np.uint64)
@@ -38,13 +39,14 @@ class Encoder:
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, "<u4")
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Add sorted new hashes."""
-        merge, flat, size = self.core.encode_single_piece, [], []
-        for w in words:
-            ids = merge(w)
-            size.append(len(ids))
-            flat += ids
+        flat, size = [], []
+        for some in batched(words, 1000):
+            for made in self.library.encode_batch_fast(list(some), add_special_tokens=False):
+                ids = made.ids
+                size.append(len(ids))
+                flat += ids
         sizes = np.array(size, np.int64)
         at = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate([self.flat, np.array(flat, "<u4")])
@@ -123,7 +125,7 @@ class Encoder:
         inside = found < len(self.known)
         new[inside] = self.known[found[inside]] != keys[inside]
         fresh = where[new]
-        self.learn(keys[new], [whole[i:j].encode("utf-8", "replace") for i, j in zip(start[fresh].tolist(), end[fresh].tolist())])
+        self.learn(keys[new], [whole[i:j] for i, j in zip(start[fresh].tolist(), end[fresh].tolist())])
         each = np.searchsorted(self.known, keys)[inverse]
         sizes, at, flat = self.size[each], self.at[each], self.flat
         stop = np.cumsum(sizes)
@@ -133,7 +135,7 @@ class Encoder:
         bounds = np.concatenate([[0], stop])[np.searchsorted(start, edges)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
-    def ids(self, texts: list[str], most: int = 2_000_000) -> list[np.ndarray]:
+    def ids(self, texts: list[str], most: int = 500_000) -> list[np.ndarray]:
         """most: code points that are held as arrays at once, or one text."""
         out: list[np.ndarray] = []
         block: list[str] = []

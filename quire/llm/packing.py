@@ -6,7 +6,7 @@ a fresh one opened. Windows still open at the end of a task are leftovers. They
 then laid end to end in each last task and cut at the window size, so that only the last window of a task is short.
 
 Defined results: a null text counts as empty, one piece that holds the closing id alone; repeated rows are packed each; an empty table gives an
-empty result. A row that is tokenized again after a lost executor goes to the same place, as its partition is read in the same order.
+empty result. A text of any length is cut into windows; it is the most that a task holds at once, beside 1 MB of others. A row that is tokenized again after a lost executor goes to the same place, as its partition is read in the same order.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from quire.llm.bpe import Encoder
 from quire.llm.common import load, settle_table
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task long, window long, offset long, open boolean, ids binary"
+#: Pieces that are held before they go on, 4 KB each at most where ids are kept.
+FLUSH = 1000
 
 
 class Windows:
@@ -59,9 +62,13 @@ class Windows:
         self.room = []
 
 
-def blocks(encode: Encoder, texts: list[str | None], rows: int = 1000) -> Iterator[np.ndarray]:
-    for k in range(0, len(texts), rows):
-        yield from encode.ids([t or "" for t in texts[k : k + rows]])
+def encoded(encode: Encoder, batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple]:
+    """(id, ids) of each row of (id, text), in parts of about `most` bytes or one row, so that no batch is held as strings as a whole."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most, prepend=-1))
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]):
+        part = batch.slice(a, b - a)
+        yield from zip(part.column(0).to_pylist(), encode.ids([t or "" for t in part.column(1).to_pylist()]))
 
 
 def pack(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 1024, open_windows: int = 64, vocabulary: str | None = None, end_id: int = 0, keep_ids: bool = False, fan_in: int = 64) -> DataFrame:
@@ -69,14 +76,14 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 1024, op
     if vocabulary is None:
         import public_tokenizers
 
-        vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    with open(vocabulary, encoding="utf-8") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType
     schema = PIECE.format(id=kind.simpleString())
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = Encoder(ranks.value), TaskContext.get().partitionId()
+        encode, task = Encoder(held.value), TaskContext.get().partitionId()
         end = np.uint32(end_id)
         out: list[tuple] = []
         count = 0
@@ -103,17 +110,16 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 1024, op
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            texts = batch.column(1).to_pylist()
-            for doc, ids in zip(batch.column(0).to_pylist(), blocks(encode, texts)):
+            for doc, ids in encoded(encode, batch):
                 ids = np.append(ids, end).astype("<u4")
                 total = len(ids)
                 whole = total - total % size
                 for start in range(0, whole, size):
                     emit([(doc, start, ids[start : start + size], total)], True)
                 if whole < total:
-                    windows.place((doc, whole, ids[whole:], total), total - whole)
-            if len(out) >= 5000:
-                yield flushed(id_type)
+                    windows.place((doc, whole, ids[whole:].copy(), total), total - whole)  # not a view of the whole document
+                if len(out) >= FLUSH:
+                    yield flushed(id_type)
         windows.finish()
         if id_type is not None:
             yield flushed(id_type)
@@ -124,11 +130,11 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 1024, op
     tasks, level = 1 + (first.agg(F.max("task")).first()[0] or 0), 1
     while tasks > 1:  # each round gathers the leftovers of fan_in tasks
         tasks = -(-tasks // fan_in)
-        rest = settle_table(merged(rest, schema, size, open_windows, tasks, last=tasks == 1, keep_ids=keep_ids))
+        rest = settle_table(merged(rest, schema, size, open_windows, tasks, last=tasks == 1, keep_ids=keep_ids, fan_in=fan_in))
         done.append(rest.where(~F.col("open")).withColumn("level", F.lit(level)))
         rest, level = rest.where("open"), level + 1
     if level == 1:
-        rest = settle_table(merged(rest, schema, size, open_windows, 1, last=True, keep_ids=keep_ids))
+        rest = settle_table(merged(rest, schema, size, open_windows, 1, last=True, keep_ids=keep_ids, fan_in=fan_in))
         done.append(rest.where(~F.col("open")).withColumn("level", F.lit(level)))
     packed = done[0]
     for more in done[1:]:
@@ -137,7 +143,7 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 1024, op
     return packed.select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", number.alias("sequence_id"), "offset", "ids")
 
 
-def merged(rest: DataFrame, schema: str, size: int, open_windows: int, tasks: int, last: bool, keep_ids: bool) -> DataFrame:
+def merged(rest: DataFrame, schema: str, size: int, open_windows: int, tasks: int, last: bool, keep_ids: bool, fan_in: int) -> DataFrame:
     """Leftover windows of many tasks packed again in `tasks` tasks; in the last round laid end to end and cut."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +163,12 @@ def merged(rest: DataFrame, schema: str, size: int, open_windows: int, tasks: in
         laid: list[tuple] = []
         room = size
         names = types = None
+
+        def flushed() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            out.clear()
+            return made
+
         for batch in batches:
             names, types = batch.schema.names, batch.schema.types
             for doc, start, length, total, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "ids"))):
@@ -171,17 +183,16 @@ def merged(rest: DataFrame, schema: str, size: int, open_windows: int, tasks: in
                     if not room:
                         emit(laid, True)
                         laid, room = [], size
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-                out.clear()
+                if len(out) >= FLUSH:
+                    yield flushed()
         windows.finish()
         if laid:
             emit(laid, True)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            yield flushed()
 
     order = ["task", "window", "offset"]
-    gathered = rest.repartition(tasks, F.floor(F.col("task") / 64)) if tasks > 1 else rest.repartition(1)
+    gathered = rest.repartition(tasks, F.floor(F.col("task") / fan_in)) if tasks > 1 else rest.repartition(1)
     return gathered.sortWithinPartitions(*order).mapInArrow(again, schema)
 
 

@@ -302,7 +302,7 @@ def test_encoder_agrees_with_the_library():
 
     from quire.llm.bpe import Encoder
 
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         mine = Encoder(f.read())
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(6)

@@ -9,6 +9,10 @@ bucket has a few centres, each member is paired with the centres of its bucket o
 centres leave the bucket. A bucket is done when all that are left in it are linked already. The number of centres doubles from round to
 round, so a round's pairs are bounded by members times centres, and in the end no pair of a bucket that could join two groups is left out.
 
+A pair is emitted only if its parities leave it possible: every shingle flips one of 1024 bits of its document, so the number of bits in which two documents
+differ is at most the size of their symmetric difference, and a pair with more than a link allows is none. The bound is exact and almost tight up to some thousand
+shingles; for longer texts it is weak, and their pairs are told apart by their full sets. Shingles are compared as 64-bit hashes throughout.
+
 Defined results: a text without words has an empty set, no link, and itself as its component; rows that share an id are one document; a row with a null id
 is linked with nothing, has a null component and is kept; an empty table gives an empty result.
 """
@@ -23,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import load, settle, settle_table
+from quire.llm.common import load, settle, settle_table, small
 
 U = np.uint64
+#: 64-bit words of a document's parities.
+PARITY = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -98,8 +104,15 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, bins: int, orders: np.nda
     return sig
 
 
+def parities(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY) words: each shingle flips the bit of its document that its lowest bits name."""
+    wide = 64 * PARITY
+    odd = np.bincount(doc * wide + (h & U(wide - 1)).astype(np.int64), minlength=n * wide) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, wide), axis=1).view(np.int64)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
-    """(id, n, key_a, key_b, bands): set size, 128 bits that equal sets share, and bucket hashes."""
+    """(id, n, key_a, key_b, bands, parity): set size, 128 bits that equal sets share, bucket hashes and parities."""
     kind = docs.schema[id_col].dataType.simpleString()
     bins = bands * rows
 
@@ -124,11 +137,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows
                     band = mixed(band * U(0x9E3779B97F4A7C15) + sig[:, :, r])
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[n > 0].ravel().view(np.int64)))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * PARITY), pa.array(parities(doc, h, m).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), held], names=["id", "n", "key_a", "key_b", "bands"]
+                    [part.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), held, bits], names=["id", "n", "key_a", "key_b", "bands", "parity"]
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(make, f"id {kind}, n long, key_a long, key_b long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(make, f"id {kind}, n long, key_a long, key_b long, bands array<long>, parity array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -164,8 +178,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (u, v) those that are links, by their full sets."""
-    one = lambda c: shingles.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    """Of the settled pairs (u, v) those that are links, by their full sets; sets that no pair needs are not moved."""
+    needed = settle(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
+    held = shingles.join(small(needed), "id", "left_semi")
+    one = lambda c: held.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(one("u"), "u").join(one("v"), "v").withColumn("common", F.size(F.array_intersect("set_u", "set_v")))
     return both.where(100 * F.col("common") >= percent * (F.size("set_u") + F.size("set_v") - F.col("common"))).select("u", "v").distinct()
 
@@ -179,10 +195,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     sketches = settle_table(sketch(docs, id_col, text_col, k, bands, rows))
     filled = sketches.where((F.col("n") > 0) & F.col("id").isNotNull())
     # the least id stands for all with its set; equal sets have equal bands
-    sets = settle_table(filled.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    sets = settle_table(
+        filled.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
+    )
+    bits = [f"p{i}" for i in range(PARITY)]
     members = sets.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    live = settle(members.join(crowded, "bucket").withColumn("comp", F.col("id")))
+    live = members.join(crowded, "bucket")
+    shown = sets.select("id", *(F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(bits)))
+    live = settle(live.join(shown, "id").withColumn("comp", F.col("id")))
     shingles = links = tested = comps = None
     centres, turn = 1, 0
     while not live.isEmpty():
@@ -190,9 +211,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
             held = live.select(F.col("id").alias(id_col)).distinct()
             shingles = settle_table(full_sets(docs.select(id_col, text_col).join(held, id_col, "left_semi"), id_col, text_col, k))
         placed = live.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(centres)))
-        chosen = settle(placed.groupBy("bucket", "part").agg(F.min(F.struct("id", "n", "comp")).alias("c")))
+        chosen = settle(placed.groupBy("bucket", "part").agg(F.min(F.struct("id", "n", "comp", *bits)).alias("c")))
+        differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c.{p}"))) for p in bits[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("c.p0"))))
         star = live.join(chosen.select("bucket", "c"), "bucket").where(
-            (F.col("comp") != F.col("c.comp")) & (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n")))
+            (F.col("comp") != F.col("c.comp")) & (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))) & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("c.n")))
         )
         pairs = star.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct()
         pairs = settle(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
@@ -202,17 +224,17 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
             links = found if links is None else links.union(found)
             comps = components(links)
         # centres have met all of their bucket; a bucket whose rest is of one component has no more to find
-        rest = placed.join(chosen.select("bucket", "part", F.col("c.id").alias("gone")), ["bucket", "part"]).where("id <> gone").select("bucket", "id", "n")
+        rest = placed.join(chosen.select("bucket", "part", F.col("c.id").alias("gone")), ["bucket", "part"]).where("id <> gone").drop("part", "gone", "comp")
         rest = rest.withColumn("comp", F.col("id")) if comps is None else rest.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         rest = settle(rest)
         more = rest.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
         live = settle(rest.join(more, "bucket"))
         centres, turn = centres * growth, turn + 1
-    sets = sets.drop("bands")
+    sets = sets.drop("bands", "parity")
     owner = sets if comps is None else sets.join(comps, "id", "left")
     owner = owner.withColumn("component", F.col("id") if comps is None else F.coalesce("component", "id"))
     owner = owner.where((F.col("copies") > 1) | (F.col("component") != F.col("id"))).select("key_a", "key_b", "component")
-    out = sketches.drop("bands").join(owner, ["key_a", "key_b"], "left")
+    out = sketches.drop("bands", "parity").join(owner, ["key_a", "key_b"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -99,6 +99,52 @@ def test_densified_bins_agree_with_similarity():
     assert abs((sig[0] == sig[1]).mean() - 27 / 33) < 0.15 and (sig != 0).all()
 
 
+def dense_group(n=160, length=140, seed=8):
+    """Copies of one text with few to many words replaced: many are linked, many others a little less alike than a link."""
+    r = random.Random(seed)
+    base, pool, out = words(length, seed), words(400, seed + 1), {}
+    for i in range(n):
+        text = list(base)
+        for at in r.sample(range(length), r.randint(0, 12)):
+            text[at] = r.choice(pool)
+        out[i] = " ".join(text)
+    return out
+
+
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_no_link_is_lost_in_a_dense_group(spark, k, percent):
+    texts = dense_group()
+    _, parent = linked(texts, k, percent)
+    assert 2 < len(set(parent.values())) < len(texts) - 20
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(df, k=k, percent=percent).collect()} == parent
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for size, gone in ((5, 2), (150, 20), (600, 300), (4000, 10)):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, gone, dtype=np.uint64)]))
+        bits = near_dedup.parities(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
+        differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        real = len(np.setxor1d(a, b))
+        assert differ <= real and (real > 100 or differ > 0.9 * real)
+
+
+@pytest.mark.parametrize("size", [7, 20, 60, 400])
+def test_pairs_at_the_threshold_share_a_bucket(size):
+    """Recall of the buckets on pairs that are just links; bins of short sets are mostly densified and depend on each other."""
+    rng, bands, rows = np.random.default_rng(size), 48, 7
+    orders = np.argsort(np.random.default_rng(7).random((bands * rows, bands * rows)), axis=1)
+    changed, tries, met = int(size * 0.15 / 1.85), 400, 0
+    for _ in range(tries):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        b = np.sort(np.concatenate([rng.permutation(a)[changed:], rng.integers(0, 2**64, changed, dtype=np.uint64)]))
+        sig = near_dedup.signatures(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2, bands * rows, orders).reshape(2, bands, rows)
+        met += bool((sig[0] == sig[1]).all(axis=1).any())
+    assert met >= tries - 1, met
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)], "u long, v long")
     got = {r["id"]: r["component"] for r in near_dedup.components(edges).collect()}

@@ -219,6 +219,46 @@ def test_top_k(spark):
     assert top_k.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_the_pivot_table_eliminates(spark):
+    """Vectors in clusters: blocks, strips and single vectors are left out, and the result is that of all pairs."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 12)) * 3
+    x = np.concatenate([c + rng.normal(size=(200, 12)) * 0.1 for c in centres])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = top_k.whole(x, 256.0)
+    ids = rng.permutation(len(x))
+    some = rng.permutation(len(x))[:400]
+    table = top_k.choose_pivots(x[some], 16)
+    far = top_k.distances(x, table).astype(np.float32).astype(np.float64)
+    asked = np.flatnonzero(ids % 50 == 0)
+    queries = (ids[asked], ids[asked], x[asked], far[asked])
+    best = top_k.Best(queries, top_k.floors(queries, ids[some], x[some], 5), 5)
+    order = np.lexsort((far.min(axis=1), far.argmin(axis=1)))
+    for at in range(0, len(x), 512):
+        part = order[at : at + 512]
+        best.meet((ids[part], ids[part], x[part], far[part]))
+    assert best.pairs == len(asked) * len(x) and best.scored < 0.2 * best.pairs, best.scored / best.pairs
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    for r in range(len(asked)):
+        want = np.lexsort((ids, -scores[r]))[:5]
+        mine = best.row == r
+        assert best.cand[mine].tolist() == ids[want].tolist() and best.score[mine].tolist() == scores[r][want].tolist()
+
+
+def test_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", 32)
+    monkeypatch.setattr(top_k, "ASKED", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(700)]
+    got = top_k.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 0, pivots=5, sample=30).collect()
+    x = np.floor(256 * np.array([v for _, v in rows]))
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    want = {(i, r + 1, int(j), int(scores[i, j])) for i in range(0, 700, 7) for r, j in enumerate(np.lexsort((np.arange(700), -scores[i]))[:5])}
+    assert {tuple(r) for r in got} == want
+
+
 def removed(texts, length):
     seen, out = set(), {}
     for i in sorted(texts):

@@ -46,6 +46,18 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def free_prefix(prefix: str, columns: list[str]) -> str:
+    """The prefix, made longer until no column starts with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def without(columns: list[str], taken: list[str]) -> list[str]:
+    """The columns that are not named like any of the others; names differ in more than case."""
+    return [c for c in columns if c.lower() not in {t.lower() for t in taken}]
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row."""
     return F.transform(F.array(value), body)[0]

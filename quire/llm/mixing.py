@@ -6,7 +6,7 @@ is taken whole as often as it fits, then cut the same way.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, ordered last; rows that share an id
 (repeated rows, null ids) share their key and what the cut leaves for them, in proportion to their sizes; an empty table gives an empty
-result. Other columns are kept as they are.
+result. Other columns are kept as they are; one that is named like a column of the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import load, settle, small, word_count
+from quire.llm.common import SPACE, free_prefix, load, settle, small, without, word_count
 
 #: Weights in code point order of the sources, repeating.
 WEIGHTS = (3, 1, 2)
@@ -76,50 +76,47 @@ def cuts(keyed: DataFrame, goal: DataFrame, digits: int = 3) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed="mix", weights=WEIGHTS, share=1.5, cap=2.0) -> DataFrame:
-    """The rows of docs with columns mix_size, mix_source_size, mix_target and mix_taken (words taken, repeats counted)."""
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed="mix", weights=WEIGHTS, share=1.5, cap=2.0, prefix="mix_") -> DataFrame:
+    """The rows of docs with the columns size, source_size, target and taken (words taken, repeats counted), each after the prefix."""
     keyed = settle(docs.select(F.col(source_col).alias("source"), key_of(F.col(id_col), seed).alias("key"), word_count(F.col(text_col)).alias("size")))
     goal = settle(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     plan = settle(cuts(keyed, goal))
-    plan = plan.select(*(F.col(c).alias(f"mix__{c}") for c in plan.columns))
-    size, key = F.col("mix_size"), key_of(F.col(id_col), seed)
-    part = (
-        F.when(F.col("mix__cut_key").isNull() | (key > F.col("mix__cut_key")), F.lit(0))
-        .when(key < F.col("mix__cut_key"), size)
-        .otherwise(F.floor(size * F.col("mix__left") / F.col("mix__held")))
-        .cast("long")
-    )
-    joined = docs.withColumn("mix_size", word_count(F.col(text_col))).join(small(plan), F.col(source_col).eqNullSafe(F.col("mix__s")))
-    return joined.select(
-        *docs.columns,
-        "mix_size",
-        F.col("mix__source_size").alias("mix_source_size"),
-        F.col("mix__target").alias("mix_target"),
-        (F.col("mix__rounds") * size + part).alias("mix_taken"),
-    )
+    own = free_prefix("plan__", docs.columns)
+    plan = plan.select(*(F.col(c).alias(f"{own}{c}") for c in plan.columns))
+    of = lambda c: F.col(f"{own}{c}")
+    joined = docs.withColumn(f"{own}size", word_count(F.col(text_col))).join(small(plan), F.col(source_col).eqNullSafe(of("s")))
+    key = key_of(F.col(id_col), seed)
+    part = F.when(of("cut_key").isNull() | (key > of("cut_key")), F.lit(0)).when(key < of("cut_key"), of("size")).otherwise(F.floor(of("size") * of("left") / of("held"))).cast("long")
+    made = {"size": of("size"), "source_size": of("source_size"), "target": of("target"), "taken": of("rounds") * of("size") + part}
+    return joined.select(*without(docs.columns, [f"{prefix}{c}" for c in made]), *(v.alias(f"{prefix}{c}") for c, v in made.items()))
 
 
-def expand(mixed: DataFrame, text_col="text") -> DataFrame:
-    """The rows as the mix has them: whole copies, then for the row at a cut the words that are left for it; input columns only.
+def expand(mixed: DataFrame, text_col="text", prefix="mix_") -> DataFrame:
+    """The rows as the mix has them: whole copies, then for the row at a cut the words that are left for it; without the four columns of the mix.
 
     n_chars, where there is one, follows the text."""
-    plain = [c for c in mixed.columns if not c.startswith("mix_")]
-    whole = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size"))).otherwise(F.lit(0)).cast("int")
-    rest = F.when(F.col("mix_size") > 0, F.col("mix_taken") % F.col("mix_size")).otherwise(F.lit(0)).cast("int")
-    copies = mixed.withColumn("mix_rest", rest).withColumn(
-        "mix_copy", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(F.col("mix_rest") > 0, F.array(F.col("mix_rest"))).otherwise(F.array().cast("array<int>"))))
-    )
-    lead = F.regexp_extract(text_col, r"^[\x20\x09-\x0D]*", 0)
-    cut = F.when(
-        F.col("mix_copy") > 0,
-        F.concat(lead, F.array_join(F.slice(F.split(F.ltrim(F.col(text_col)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), F.col("mix_copy")), "")),
-    ).otherwise(F.col(text_col))
-    out = copies.withColumn(text_col, cut)
-    if "n_chars" in plain:
-        out = out.withColumn("n_chars", F.when(F.col("mix_copy") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+    plain = without(mixed.columns, [f"{prefix}{c}" for c in ("size", "source_size", "target", "taken")])
+    own = free_prefix("cut__", mixed.columns)
+    size, taken, text = F.col(f"{prefix}size"), F.col(f"{prefix}taken"), F.col(text_col)
+    whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
+    rest = F.when(size > 0, taken % size).otherwise(F.lit(0)).cast("int")
+    cut = F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))
+    copies = mixed.withColumn(f"{own}words", F.explode(F.concat(F.array_repeat(F.lit(0), whole), cut)))
+    words = F.col(f"{own}words")
+    lead = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
+    first = F.slice(F.split(F.ltrim(text, F.lit(SPACE)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), words)
+    out = copies.withColumn(text_col, F.when(words > 0, F.concat(lead, F.array_join(first, ""))).otherwise(text))
+    if "n_chars" in plain and text_col != "n_chars":
+        out = out.withColumn("n_chars", F.when(words > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*plain)
 
 
+def mixed_rows(docs: DataFrame, text_col="text", **options) -> DataFrame:
+    """Rows of docs as often as the mix takes them, all columns kept, whatever their names."""
+    prefix = free_prefix("mix_", docs.columns)
+    return expand(mix(docs, text_col=text_col, prefix=prefix, **options), text_col, prefix)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(

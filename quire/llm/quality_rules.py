@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE, let, load, settle, small, words
+from quire.llm.common import SPACE, let, load, settle, small, without, words
 
 P = 4
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -152,8 +152,11 @@ def estimates(vectors: DataFrame, share: float = 0.75, steps: int = 6, least: in
 
 
 def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", reject: float = 1e-7, least: int = 80, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """The `carry` columns of every row (all but the text if not given) with the statistics, base_failed, kept and distance2, these with a prefix."""
-    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    """The `carry` columns of every row (all but the text if not given) with the statistics, base_failed, kept and distance2, these with a prefix.
+
+    A column to carry that is named like one of these is replaced by it; where it must stay, choose another prefix."""
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    carry = without([c for c in docs.columns if c != text_col] if carry is None else carry, [prefix + c for c in (*made, "kept", "distance2")])
     named = [F.col(c).alias(f"in_{k}") for k, c in enumerate(carry)]
     stats = docs.select(*named, F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"), words(F.col(text_col)).alias("ws"), *(c.alias(n) for n, c in base_statistics(F.col(text_col)).items()))
     stats = stats.select("*", F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"), window_hashes(F.col("ws")).alias("h")).drop("ws")
@@ -172,7 +175,7 @@ def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source"
     joined = joined.withColumn("e", F.coalesce("e0", "e1", "e2")).select("*", "e.*").withColumn("d2", squared_distance())
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi2_point(1 - reject, P // 2)))
     return joined.select(
-        *(F.col(f"in_{k}").alias(c) for k, c in enumerate(carry)), *(F.col(c).alias(prefix + c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), kept.alias(f"{prefix}kept"), F.col("d2").alias(f"{prefix}distance2")
+        *(F.col(f"in_{k}").alias(c) for k, c in enumerate(carry)), *(F.col(c).alias(prefix + c) for c in made), kept.alias(f"{prefix}kept"), F.col("d2").alias(f"{prefix}distance2")
     )
 
 

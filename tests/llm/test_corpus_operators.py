@@ -338,6 +338,8 @@ def test_quality_statistics(docs, empty):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat), r["doc_id"]
         assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n) and not (r["base_failed"] and r["kept"])
     assert quality_rules.judge(empty).count() == 0
+    clash = quality_rules.judge(docs)
+    assert clash.columns.count("kept") == 1 and clash.schema["kept"].dataType.simpleString() == "boolean"
 
 
 def test_estimates_resist_outliers(spark):
@@ -453,6 +455,19 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_the_row_at_the_cut_keeps_its_words(spark):
+    rows = [(k, "\n \t a b c d", "s", k, "x") for k in range(7)] + [(9, "x " * 30, "t", 1, "y"), (10, "\v", "t", 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size long, mix_other string")
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    taken = collections.Counter()
+    for r in out.collect():
+        taken[r["source"]] += len(r["text"].split())
+        assert (r["doc_id"], r["mix_size"], r["mix_other"]) in {(x[0], x[3], x[4]) for x in rows}
+    want = {r["source"]: r["taken"] for r in mixing.mix(docs, prefix="my_").groupBy("source").agg(F.sum("my_taken").alias("taken")).collect()}
+    assert taken == want and set(mixing.mix(docs).columns) == {*docs.columns, "mix_source_size", "mix_target", "mix_taken"}
+
+
 def test_mixing_is_the_same_again_and_splits_ids_that_repeat(spark):
     rows = [(1, "a b c d", "x")] * 3 + [(2, "a b", "x"), (None, "c d e", "x"), (None, "f", None), (3, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -460,6 +475,7 @@ def test_mixing_is_the_same_again_and_splits_ids_that_repeat(spark):
     assert once == sorted(map(repr, mixing.mix(df.repartition(4)).collect())) and len(once) == len(rows)
 
 
+KEY = "of tests"
 PEOPLE = [
     (1, "Write to Anna.Berg@mail.example.org or +1 (310) 555-4510; Frau Anna Berg, card 4111111111111111."),
     (2, "anna.berg@mail.example.org wrote; 13105554510? +1-310-555-4510 is hers. Mr Smith. 10.20.30.40"),
@@ -469,7 +485,7 @@ PEOPLE = [
 
 def test_pii(spark, empty):
     df = spark.createDataFrame(PEOPLE, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replace(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.replace(df, KEY).collect()}
     assert got[3] == PEOPLE[2][1] and got[4] is None and got[5] == ""
     for secret in ("Berg", "555-4510", "4111111111111111", "10.20.30.40", "0123456789abcdef", "王伟", "Smith"):
         assert not any(secret.lower() in (t or "").lower() for t in got.values()), secret
@@ -483,15 +499,15 @@ def test_pii(spark, empty):
     assert re.fullmatch(r"Mr\. [A-Z]\w+ [A-Z]\w+ and Mrs [A-Z]\w+", got[7])
     first = re.match(r"Frau (\w+)", got[1][got[1].index("Frau") :])[1]
     assert first in pii.GIVEN["f"]
-    assert pii.replace(empty).count() == 0
-    assert sorted(map(repr, pii.replace(df.repartition(3)).collect())) == sorted(map(repr, pii.replace(df).collect()))
+    assert pii.replace(empty, KEY).count() == 0
+    assert sorted(map(repr, pii.replace(df.repartition(3), KEY).collect())) == sorted(map(repr, pii.replace(df, KEY).collect()))
 
 
 def test_guards_lose_no_mention(spark):
     rows = [f"key {c}eadbee{k}0123456789deadbeef01234567 of {k}" for k, c in enumerate("0123456789abcdef")] + [r[1] for r in PEOPLE] + list(TEXTS.values()) + ["госпожа Ольга Белова", "г-н Белов", "Mme Blanc", "DE89 3704 0044 0532 0130 00", "王伟先生", "api_key: abcdefgh"]
     df = spark.createDataFrame([(t,) for t in rows], "text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")).where("text is not null")
     unguarded = "|".join(f"(?:{p})" for p in pii.PATTERNS.values())
-    got = df.select("text", pii.mentions(F.col("text")).alias("m"), F.regexp_extract_all("text", F.lit(unguarded), F.lit(0)).alias("every")).collect()
+    got = pii.with_mentions(df, "text").where("pii__names is null").select("text", F.col("pii__found").alias("m"), F.regexp_extract_all("text", F.lit(unguarded), F.lit(0)).alias("every")).collect()
     assert [r["m"] for r in got] == [r["every"] for r in got] and any(r["m"] for r in got)
     assert all(len(r["m"]) == 1 for r in got if r["text"].startswith("key "))
 
@@ -500,7 +516,7 @@ def test_secrets_in_any_case(spark):
     low = "9233a8ecf7c5d1e0b4a69233a8ecf7c5d1e0b4a6"
     rows = [f"token = '{low}' here", f'TOKEN = "{low.upper()}" here', f"digest {low.upper()} here", f"digest {low} here", "Password: Tr0ubadour-x here", "API_KEY=tr0ubadour-x here", "ApiKey: DeadBeef here", f"long {low * 2} here", f"long {(low * 2).upper()} here", "SECRET:ABCDEFGHIJ here", f"hex {low[:20]}{low[20:].upper()} here"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["pii_entities"]) for r in pii.replace(df).collect()}
+    got = {r["doc_id"]: (r["text"], r["pii_entities"]) for r in pii.replace(df, KEY).collect()}
     assert all(got[i][1] == 1 and got[i][0] != t and got[i][0].endswith(" here") for i, t in enumerate(rows))
     text = [got[i][0] for i in range(len(rows))]
     made = re.fullmatch("token = '([0-9a-f]{40})' here", text[0])[1]
@@ -510,18 +526,56 @@ def test_secrets_in_any_case(spark):
     assert re.fullmatch("ApiKey: [A-Z][a-z]{3}[A-Z][a-z]{3} here", text[6]) and re.fullmatch("SECRET:[A-Z]{10} here", text[9])
 
 
+def names_of(text, pattern):
+    return re.fullmatch(pattern, text).groups()
+
+
+def test_mentions_of_a_person_stay_one_person(spark):
+    name = r"(\w+)"
+    rows = [
+        (1, "Dr Anna Berg met Frau Anna Berg. Anna Berg left, and Berg called.", rf"Dr {name} {name} met Frau {name} {name}\. {name} {name} left, and {name} called\."),
+        (2, "Mr John Smith, later Mr Smith and John Smith; Smithson stays.", rf"Mr {name} {name}, later Mr {name} and {name} {name}; Smithson stays\."),
+        (3, "Call (310) 555-4510 or +1 310 555 4510 or 310-555-4510.", None),
+        (4, "Prof Anna Berg, not Mr Paul Berg.", rf"Prof {name} {name}, not Mr {name} {name}\."),
+        (5, "王伟先生来了。王伟说。", r"(\p{Han}+)".replace(r"\p{Han}", "[一-鿿]") + "先生来了。([一-鿿]+)说。"),
+        (6, "Anna Berg is named without a title here.", None),
+        (7, "госпожа Ольга Белова и господин Белов, Ольга Белова", rf"госпожа {name} {name} и господин {name}, {name} {name}"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), KEY).collect()}
+    found = {i: names_of(got[i], p) for i, _, p in rows if p}
+    given, family = found[1][:2]
+    assert found[1] == (given, family, given, family, given, family, family) and found[4][:2] == (given, family) and found[4][3] == family != found[2][1]
+    assert found[2] == (found[2][0], found[2][1], found[2][1], *found[2][:2]) and given not in pii.GIVEN["m"] + pii.GIVEN["x"]
+    assert found[5][0] == found[5][1] != "王伟" and len(found[5][0]) == 2
+    assert found[7][:2] == found[7][3:] and found[7][2] not in ("Белов", found[7][1])
+    a, b, c = (re.sub(r"\D", "", x) for x in re.findall(r"[(+\d][-()\d ]+\d", got[3]))
+    assert a == c == b[1:] and b[0] == "1" and a != "3105554510" and got[6] == rows[5][1]
+
+
+def test_han_names_do_not_run_out(spark):
+    texts = [chr(0x738B) + chr(0x4E00 + k) + "先生" for k in range(1500)]  # more than the lists have
+    got = [r["text"] for r in pii.replace(spark.createDataFrame([(t,) for t in texts], "text string"), KEY).collect()]
+    assert len(set(got)) == len(texts) and all(len(t) == 4 and t.endswith("先生") for t in got) and not set(got) & set(texts)
+
+
+def test_keys_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Mr Smith, a@b.example", "old")], "doc_id long, text string, PII_entities string")
+    one, other = pii.replace(df, KEY).first(), pii.replace(df, "another").first()
+    assert one["text"] != other["text"] and one["pii_entities"] == 2 and len(one) == 3
+
+
 def test_colliding_surrogates_are_hashed_again(spark):
     df = spark.createDataFrame([(i, f"host 10.0.{i // 250}.{i % 250 + 1} up") for i in range(600)], "doc_id long, text string")
-    again = pii.hashed_again(df, "text", "quire").collect()
-    got = [re.search(r"\d+\.\d+\.\d+\.\d+", r["text"])[0] for r in pii.replace(df).collect()]
+    again = pii.hashed_again(df, "text", KEY).collect()
+    got = [re.search(r"\d+\.\d+\.\d+\.\d+", r["text"])[0] for r in pii.replace(df, KEY).collect()]
     assert len(set(got)) == 600 and not set(got) & {f"10.0.{i // 250}.{i % 250 + 1}" for i in range(600)} and len(again) >= 0
 
 
 def test_names_stay_apart_when_the_lists_are_short(spark):
     names = sorted({"".join(random.Random(k).choices("abcdefghij", k=6)).capitalize() for k in range(3000)})
     df = spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(names)], "doc_id long, text string")
-    assert pii.hashed_again(df, "text", "quire").count() > 0
-    got = [r["text"] for r in pii.replace(df).collect()]
+    assert pii.hashed_again(df, "text", KEY).count() > 0
+    got = [r["text"] for r in pii.replace(df, KEY).collect()]
     assert len(set(got)) == len(names)
 
 

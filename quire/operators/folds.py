@@ -6,7 +6,6 @@ batches go through Arrow, so the cost of a document is its rows and not a call.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quire.sources.scratch import shared_folder
+
+#: Rows that a walk holds before they go on.
+FLUSH = 5000
+
 
 def per_document(df: DataFrame, keys: list[str], order: list[str], walk: Callable[[list[dict]], list[dict]], out: str) -> DataFrame:
     """walk(rows in order) gives rows of the columns `out`, for each value of the keys."""
@@ -27,10 +31,16 @@ def per_document(df: DataFrame, keys: list[str], order: list[str], walk: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[dict] = []
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # one group at a time becomes Python objects
+                row = batch.slice(at, 1).to_pylist()[0]
                 held = {k: row[k] for k in keys}
-                found += [held | x for x in walk(row["rows"])]
-            yield pa.RecordBatch.from_pylist(found, schema=shape)
+                for x in walk(row["rows"]):
+                    found.append(held | x)
+                    if len(found) >= FLUSH:
+                        yield pa.RecordBatch.from_pylist(found, schema=shape)
+                        found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=shape)
 
     return gathered.mapInArrow(run, full)
 
@@ -44,7 +54,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], walk: Callable[[l
 def settle(df: DataFrame) -> DataFrame:
     """df computed once, in the folder that spark.checkpoint.dir names: what is read several times behind a fold or many joins would else be
     computed for each reader, and a plan of many steps would grow with each."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

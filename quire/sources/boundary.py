@@ -6,8 +6,6 @@ settled in the shared folder before anything reads them, so a lost executor neve
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -15,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import settled_table
+
 REPLIES = "kind string, key string, attempt int, body string, tokens_in long, tokens_out long, error string"
 #: Tokens that each kind of call may use, and what happens when it fails.
 CALLS = {
@@ -55,11 +55,7 @@ def answer(requests: DataFrame, responder: Responder = echo, attempts: int = 3)
                         rows.append((kind, key, attempt, None, 0, 0, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["kind", "key", "attempt", "body", "tokens_in", "tokens_out", "error"])
 
-    spark = requests.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-")
-    path = f"{at}/replies-{uuid.uuid4().hex}"
-    requests.select("kind", "key", "payload").mapInPandas(run, REPLIES).write.parquet(path)
-    return spark.read.parquet(path)
+    return settled_table(requests.select("kind", "key", "payload").mapInPandas(run, REPLIES))
 
 
 def errors(replies: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import settled_table, shared_folder
+
 #: White space is space and U+0009 to U+000D, and a word is a run of anything else.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -17,17 +18,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quire-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage, in the shared folder; Spark's cleaner removes the files."""
     shared_folder(df.sparkSession)
@@ -35,10 +25,15 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def settle_table(df: DataFrame) -> DataFrame:
-    """As settle(), but as Parquet, for wide rows that are read column by column."""
-    at = f"{shared_folder(df.sparkSession)}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+    """As settle(), but as Parquet, for wide rows that are read column by column; the files go with the session."""
+    return settled_table(df)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner see what is no longer referenced, so that shuffle files and checkpoints of finished rounds go; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:

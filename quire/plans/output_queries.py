@@ -180,11 +180,11 @@ def turns(spark, sf_dir):
 
 @query(
     "judge_samples",
-    f"""WITH {TURNS_SQL}, n AS (SELECT conv_id, turn, en, zh, row_number() OVER w - 1 AS place, greatest(1, floor(count(*) OVER (PARTITION BY conv_id) / 2)::BIGINT) AS step FROM pairs WHERE NOT failed AND coalesce(en, '') <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-        SELECT conv_id, turn, left(en, 1500) AS en, left(zh, 1500) AS zh, (place // step)::INTEGER AS sample FROM n WHERE place % step = 0 AND place < 2 * step""",
+    f"""WITH {TURNS_SQL}, n AS (SELECT conv_id, turn, en, zh, row_number() OVER w - 1 AS place, greatest(1, floor(count(*) OVER (PARTITION BY conv_id) / 6)::BIGINT) AS step FROM pairs WHERE NOT failed AND coalesce(en, '') <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+        SELECT conv_id, turn, left(en, 1500) AS en, left(zh, 1500) AS zh, (place // step)::INTEGER AS sample FROM n WHERE place % step = 0 AND place < 6 * step""",
 )
 def judge_samples(spark, sf_dir):
-    return m.judge_samples(turns(spark, sf_dir), ["conv_id"], ["turn"], most=2).drop("failed")
+    return m.judge_samples(turns(spark, sf_dir), ["conv_id"], ["turn"]).drop("failed")
 
 
 SCORES = [(1, '{"accuracy": 5, "fluency": 4}'), (1, '```json\n{"accuracy": 4, "fluency": 4}\n```'), (1, "none"), (2, "none"), (3, '{"accuracy": 3}'), (3, '{"accuracy": 2, "fluency": 1')]

@@ -22,15 +22,15 @@ def glossary_merge(spark, sf_dir):
     return g.merged(glossary(spark), ranks(spark))
 
 
-NEW_SQL = f"""docs AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{3,}}')[1:3] AS ws FROM documents),
+NEW_SQL = f"""docs AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS ws FROM documents),
     words AS (SELECT doc_id, unnest(ws) AS en, unnest(range(len(ws)))::INTEGER AS seq FROM docs),
     firsts AS (SELECT 'cs' AS domain, lower(en) AS en_lower, en FROM words QUALIFY row_number() OVER (PARTITION BY lower(en) ORDER BY doc_id, seq) = 1),
     added AS (SELECT f.domain, f.en_lower, f.en, '新' AS zh, 'uncategorized' AS category, 'web_search' AS source, '{AS_OF}' AS added_date FROM firsts f ANTI JOIN {GLOSSARY_SQL} g USING (domain, en_lower))"""
 
 
 def new_terms(spark, sf_dir):
-    """The first three words of each document as new terms."""
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 3)
+    """Every word of every document as a new term."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("seq", "en"))
     nothing = F.lit(None).cast("string")
     return rows.select(F.lit("cs").alias("domain"), "en", F.lit("新").alias("zh"), nothing.alias("category"), nothing.alias("source"), nothing.alias("added_date"), "doc_id", "seq")
@@ -80,12 +80,12 @@ def known_terms(spark, sf_dir):
 
 
 CANDIDATES_SQL = f"""texts AS (SELECT doc_id, 0 AS article_index, text AS full_text FROM documents),
-    ws AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ')[1:30] AS ws FROM documents),
+    ws AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents),
     raws AS (SELECT doc_id, 0 AS article_index, unnest(ws) || CASE WHEN unnest(range(len(ws))) % 9 = 8 THEN ' missing words' ELSE ' ' END AS raw, unnest(range(len(ws)))::INTEGER AS cand_seq FROM ws),
     cands AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS term FROM raws),
-    terms AS (SELECT c.doc_id, c.article_index, cand_seq, term FROM cands c JOIN texts t USING (doc_id) WHERE term <> '' AND length(term) <= 50 AND len(string_split_regex(term, '\\s+')) <= 5
-              AND lower(term) NOT IN (SELECT en_lower FROM {GLOSSARY_SQL}) AND contains(lower(full_text), lower(term))
-              QUALIFY row_number() OVER (PARTITION BY c.doc_id, lower(term) ORDER BY cand_seq) = 1),
+    firsts AS (SELECT * FROM cands WHERE term <> '' AND length(term) <= 50 AND len(string_split_regex(term, '\\s+')) <= 5 AND lower(term) NOT IN (SELECT en_lower FROM {GLOSSARY_SQL})
+               QUALIFY row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY cand_seq) = 1),
+    terms AS (SELECT c.doc_id, c.article_index, cand_seq, term FROM firsts c JOIN texts t USING (doc_id) WHERE contains(lower(full_text), lower(term))),
     candidates AS (SELECT * FROM terms QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cand_seq) <= 8)"""
 
 
@@ -94,8 +94,8 @@ def texts(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    """The first words of a document; every ninth is made one that the text doesn't hold."""
-    ws = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 30)
+    """All words of a document; every ninth is made one that the text doesn't hold."""
+    ws = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(ws).alias("cand_seq", "w"))
     raw = F.concat("w", F.when(F.col("cand_seq") % 9 == 8, " missing words").otherwise(" "))
     return g.filter_candidates(rows.select("doc_id", F.lit(0).alias("article_index"), "cand_seq", raw.alias("raw")), texts(spark, sf_dir), glossary(spark))
@@ -159,11 +159,11 @@ def search_digests(spark, sf_dir):
 @query(
     "glossary_constraints",
     f"""WITH hits AS (SELECT d.doc_id, 0 AS article_index, g.en_lower, g.en, g.zh FROM documents d JOIN {MERGED_SQL} g ON contains(lower(d.text), g.en_lower)),
-        top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY en_lower) AS place FROM hits QUALIFY place <= 4)
+        top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY en_lower) AS place FROM hits QUALIFY place <= 40)
         SELECT doc_id, article_index, count(*) AS n_terms, string_agg('- ' || en || ' => ' || zh, chr(10) ORDER BY place) AS block FROM top GROUP BY doc_id, article_index""",
 )
 def glossary_constraints(spark, sf_dir):
-    return g.constraints(texts(spark, sf_dir), g.merged(glossary(spark), ranks(spark)), most=4)
+    return g.constraints(texts(spark, sf_dir), g.merged(glossary(spark), ranks(spark)))
 
 
 @query("audit_chunks", f"SELECT {FIELDS}, ((row_number() OVER (PARTITION BY domain ORDER BY en_lower) - 1) // 30)::INTEGER AS chunk, CASE domain WHEN 'econ' THEN 'economist' ELSE 'academy' END AS style FROM {GLOSSARY_SQL} WHERE source <> 'seed'")

@@ -122,17 +122,17 @@ def ui_rows(spark, sf_dir):
     return noise.without_ui_rows(tables.fixture(spark, LABELLED, LABELLED_SCHEMA)).select("doc_id", "line_seq")
 
 
-@query(
-    "strip_noise",
-    rf"""WITH {LINES_SQL}, {BODY_SQL},
+STRIPPED_SQL = rf"""{BODY_SQL},
         script AS (SELECT doc_id, sum({count_sql('text', HAN)}) > sum({count_sql('text', 'A-Za-z')}) AS han_majority FROM lines GROUP BY doc_id),
-        m AS (SELECT *, min(page) OVER w AS a, max(page) OVER w AS b, row_number() OVER (PARTITION BY doc_id, text ORDER BY font_size DESC, page, y0, line_seq) AS k,
-                     max((text IN {LABELS_SQL})::INTEGER) OVER (PARTITION BY doc_id, page, floor(y0 / 4)) AS ui FROM lines WINDOW w AS (PARTITION BY doc_id, text))
-        SELECT m.doc_id, line_seq, page, font_size, text FROM m JOIN body USING (doc_id) JOIN script USING (doc_id)
+        noisy AS (SELECT *, min(page) OVER w AS a, max(page) OVER w AS b, row_number() OVER (PARTITION BY doc_id, text ORDER BY font_size DESC, page, y0, line_seq) AS k,
+                     max((text IN {LABELS_SQL})::INTEGER) OVER (PARTITION BY doc_id, page, floor(y0 / 4)) AS ui FROM lines WINDOW w AS (PARTITION BY doc_id, text)),
+        stripped AS (SELECT n.* EXCLUDE (a, b, k, ui) FROM noisy n JOIN body USING (doc_id) JOIN script USING (doc_id)
         WHERE NOT (regexp_matches(text, '^\p{{Nd}}+$') AND length(text) <= 4 AND y0 > 0.85::DOUBLE * 842.0) AND NOT (regexp_matches(text, '^\p{{Nd}}{{4}}[./-]\p{{Nd}}{{1,2}}[./-]\p{{Nd}}{{1,2}}$') AND y1 < 0.15::DOUBLE * 842.0)
           AND NOT (length(text) <= 60 AND a <> b AND k > 1) AND ui = 0 AND font_size >= 0.75::DOUBLE * body_size
-          AND NOT (han_majority AND length(text) < 30 AND NOT regexp_matches(text, '[{HAN}]'))""",
-)
+          AND NOT (han_majority AND length(text) < 30 AND NOT regexp_matches(text, '[{HAN}]')))"""
+
+
+@query("strip_noise", f"WITH {LINES_SQL}, {STRIPPED_SQL} SELECT doc_id, line_seq, page, font_size, text FROM stripped")
 def strip_noise(spark, sf_dir):
     rows = lines(spark, sf_dir)
     return noise.strip_noise(rows, tables.page_sizes(rows)).select("doc_id", "line_seq", "page", "font_size", "text")
@@ -160,18 +160,32 @@ def english_paragraphs(spark, sf_dir):
 
 MONEY = [(0, "It cost $86bn and $5"), (1, "```\n$5 stays\n```"), (2, "inline $d_k$ stays"), (3, "$$\nx\n$$"), (4, "the edge $2^n$"), (5, "价$x$格"), (6, "a $x$ b"), (7, r"\$5 and $y$z"), (8, "$a$$b$"), (9, "两$x$个$y$公式"), (10, "no math")]
 MONEY_SQL = tables.sql_values(MONEY, TEXT_SCHEMA)
-PADDED = {0: "It cost $86bn and $5", 2: "inline $d_k$ stays", 5: "价 $x$ 格", 6: "a $x$ b", 9: "两 $x$ 个 $y$ 公式", 10: "no math"}
-
 
 @query("currency_escape", rf"SELECT id, CASE WHEN starts_with(text, '```') THEN text ELSE regexp_replace(text, '\$(\p{{Nd}})', '\\$\1', 'g') END AS escaped FROM {MONEY_SQL}")
 def currency_escape(spark, sf_dir):
     return tables.fixture(spark, MONEY, TEXT_SCHEMA).select("id", t.escape_currency(F.col("text")).alias("escaped"))
 
 
-@query("math_padding", f"SELECT * FROM {tables.sql_values(sorted(PADDED.items()), 'id int, padded string')} WHERE id <> 0")
+#: Lines in which some letters are made signs of every kind, so that spans, escapes, double signs and line breaks occur.
+DOLLARS = ("aeiou", "$ $\\\n")
+MATH_SQL = rf"""WITH {LINES_SQL}, every AS (SELECT doc_id, line_seq, translate(left(text, 60), 'aeiou', '$ $\' || chr(10)) AS text FROM lines UNION ALL SELECT -1, id, text FROM {MONEY_SQL}),
+    chars AS (SELECT doc_id, line_seq, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS p FROM every),
+    near AS (SELECT *, lag(c) OVER w AS c0, lead(c) OVER w AS c1, min(CASE WHEN c = '$' THEN p END) OVER (PARTITION BY doc_id, line_seq ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS close,
+                    min(CASE WHEN c = chr(10) THEN p END) OVER (PARTITION BY doc_id, line_seq ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS newline FROM chars WINDOW w AS (PARTITION BY doc_id, line_seq ORDER BY p)),
+    spans AS (SELECT s.doc_id, s.line_seq, s.p, s.close, row_number() OVER (PARTITION BY s.doc_id, s.line_seq ORDER BY s.p) AS k FROM near s JOIN near e ON s.doc_id = e.doc_id AND s.line_seq = e.line_seq AND s.close = e.p
+              WHERE s.c = '$' AND coalesce(s.c0, '') NOT IN ('$', '\') AND s.close > s.p + 1 AND coalesce(s.newline > s.close, true) AND coalesce(e.c1, '') <> '$'),
+    walk AS (SELECT doc_id, line_seq, k, p, close, true AS taken, close AS upto FROM spans WHERE k = 1
+             UNION ALL SELECT s.doc_id, s.line_seq, s.k, s.p, s.close, s.p > w.upto, CASE WHEN s.p > w.upto THEN s.close ELSE w.upto END FROM walk w JOIN spans s ON s.doc_id = w.doc_id AND s.line_seq = w.line_seq AND s.k = w.k + 1),
+    pads AS (SELECT doc_id, line_seq, p, true AS opens FROM walk WHERE taken UNION ALL SELECT doc_id, line_seq, close, false FROM walk WHERE taken),
+    padded AS (SELECT n.doc_id, n.line_seq, string_agg(CASE WHEN opens AND regexp_matches(c0, '[^\s]') THEN ' ' ELSE '' END || c || CASE WHEN NOT opens AND regexp_matches(c1, '[^\s]') THEN ' ' ELSE '' END, '' ORDER BY n.p) AS padded
+               FROM near n LEFT JOIN pads USING (doc_id, line_seq, p) GROUP BY n.doc_id, n.line_seq)"""
+
+
+@query("math_padding", f"{MATH_SQL.replace('WITH', 'WITH RECURSIVE', 1)} SELECT doc_id, line_seq, padded FROM padded")
 def math_padding(spark, sf_dir):
-    rows = tables.fixture(spark, [r for r in MONEY if r[0] in PADDED and r[0] != 0], TEXT_SCHEMA)
-    return rows.select("id", t.pad_inline_math(F.col("text")).alias("padded"))
+    made = lines(spark, sf_dir).select("doc_id", "line_seq", F.translate(F.substr("text", F.lit(1), F.lit(60)), *DOLLARS).alias("text"))
+    rows = made.unionByName(tables.fixture(spark, MONEY, TEXT_SCHEMA).select(F.lit(-1).cast("long").alias("doc_id"), F.col("id").alias("line_seq"), "text"))
+    return rows.select("doc_id", "line_seq", t.pad_inline_math(F.col("text")).alias("padded"))
 
 
 @query(
@@ -183,30 +197,45 @@ def file_slugs(spark, sf_dir):
     return tables.read(spark, sf_dir, "pages").select("page_id", t.slug(F.coalesce("url", F.lit(""))).alias("slug"))
 
 
-FILES = [("01-title.md", True), ("标题（一）.md", True), ("../up.md", False), ("a b.md", False), ("x.txt", False), ("Ünï-1.md", True)]
+FILES = [(0, "01-title.md"), (1, "标题（一）.md"), (2, "../up.md"), (3, "a b.md"), (4, "x.txt"), (5, "Ünï-1.md")]
 
 
-@query("safe_file_names", f"SELECT * FROM {tables.sql_values(FILES, 'name string, safe boolean')}")
+@query(
+    "safe_file_names",
+    rf"""WITH {LINES_SQL}, names AS (SELECT doc_id, line_seq, CASE WHEN line_seq % 2 = 0 THEN replace(text, ' ', '-') ELSE text END || '.md' AS name FROM lines UNION ALL SELECT -1, id, text FROM {tables.sql_values(FILES, TEXT_SCHEMA)})
+        SELECT doc_id, line_seq, regexp_full_match(name, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}（）()-]+\.md') AS safe FROM names""",
+)
 def safe_file_names(spark, sf_dir):
-    return tables.fixture(spark, FILES, "name string, safe boolean").select("name", t.safe_file_name(F.col("name")).alias("safe"))
-
-
-REPLIES = [
-    (0, '{"1": "一", "2": "二"}'), (1, '```json\n{"1": "a\nb"}\n```'), (2, '{"1": "他说“好”}'), (3, '{"1": "cut'), (4, '{"1": "open"'), (5, "no json"), (6, "```\n{}\n```"),
-]
-PARSED = [(0, "一"), (1, "a\nb"), (2, "他说“好”"), (3, "cut"), (4, "open"), (5, None), (6, None)]
+    """Lines as names of files, those with an even number with hyphens for spaces."""
+    name = F.concat(F.when(F.col("line_seq") % 2 == 0, F.replace("text", F.lit(" "), F.lit("-"))).otherwise(F.col("text")), F.lit(".md"))
+    rows = lines(spark, sf_dir).select("doc_id", "line_seq", name.alias("name")).unionByName(tables.fixture(spark, FILES, TEXT_SCHEMA).select(F.lit(-1).cast("long").alias("doc_id"), F.col("id").alias("line_seq"), F.col("text").alias("name")))
+    return rows.select("doc_id", "line_seq", t.safe_file_name(F.col("name")).alias("safe"))
 
 
-@query("json_repair", f"SELECT * FROM {tables.sql_values(PARSED, 'id int, first string')}")
+@query(
+    "json_repair",
+    r"""SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE regexp_replace(text, '["\\]', chr(39), 'g') END AS first FROM conversations""",
+)
 def json_repair(spark, sf_dir):
-    table = t.repaired_json(t.strip_fences(F.col("text")), "map<string,string>")
-    return tables.fixture(spark, REPLIES, TEXT_SCHEMA).select("id", F.element_at(table, "1").alias("first"))
+    """Turns as replies: whole, in a fence, without the last brace, without quote and brace, and no JSON at all."""
+    start, k = F.concat(F.lit('{"1": "'), F.regexp_replace("text", r'["\\]', "'")), F.col("turn") % 5
+    made = F.when(k == 0, F.concat(start, F.lit('", "2": "x"}'))).when(k == 1, F.concat(F.lit("```json\n"), start, F.lit('"}\n```'))).when(k == 2, F.concat(start, F.lit('"'))).when(k == 3, start).otherwise("no json")
+    table = t.repaired_json(t.strip_fences(made), "map<string,string>")
+    return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(table, "1").alias("first"))
 
 
-SPANS = [(0, [("CMMI10", "x"), ("CMR10", "+1")]), (1, [("CMR10", "plain roman")]), (2, [("Times", "PE"), ("CMSY8", "(pos, 2i) = sin(pos)")]), (3, [("Times", "some words"), ("CMMI10", "x")]), (4, [])]
+#: Fonts of a line's words, by the number of the document and of the word.
+FONTS = ["CMMI10", "CMR10", "Times", "CMSY8", "msbm7", "EulerMath", "Arial"]
 
 
-@query("math_only_lines", f"SELECT * FROM {tables.sql_values([(0, True), (1, False), (2, True), (3, False), (4, False)], 'id int, math_only boolean')}")
+@query(
+    "math_only_lines",
+    f"""WITH {LINES_SQL}, words AS (SELECT doc_id, line_seq, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS k FROM lines),
+        spans AS (SELECT *, {FONTS}[((doc_id + CASE WHEN line_seq % 3 = 0 THEN k ELSE 0 END) % {len(FONTS)})::INTEGER + 1] AS font FROM words)
+        SELECT doc_id, line_seq, bool_or(regexp_matches(font, '(?i)^CM(MI|SY|EX)')) AND 100 * sum(CASE WHEN regexp_matches(font, '(?i)^(CM|MSAM|MSBM|Euler)|Math') THEN length(w) ELSE 0 END) >= 85 * sum(length(w)) AS math_only FROM spans GROUP BY doc_id, line_seq""",
+)
 def math_only_lines(spark, sf_dir):
-    rows = tables.fixture(spark, SPANS, "id int, spans array<struct<font:string,text:string>>")
-    return rows.select("id", t.is_math_only(F.col("spans")).alias("math_only"))
+    """A line's words as spans, of one font or, in every third line, of several."""
+    font = lambda k: F.get(F.array(*map(F.lit, FONTS)), ((F.col("doc_id") + F.when(F.col("line_seq") % 3 == 0, k).otherwise(0)) % len(FONTS)).cast("int"))
+    spans = F.transform(F.split("text", " "), lambda w, k: F.struct(font(k).alias("font"), w.alias("text")))
+    return lines(spark, sf_dir).select("doc_id", "line_seq", t.is_math_only(spans).alias("math_only"))

@@ -75,7 +75,7 @@ def failed_batches(spark, sf_dir):
     return lost.groupBy("doc_id", "article_index").agg(F.sum("n_segments").alias("n_segments"))
 
 
-@query("translation_requests")
+@query("translation_requests", f"WITH {SEGMENTS_SQL} SELECT doc_id, article_index, count(*) AS n_returned FROM flagged WHERE NOT verbatim GROUP BY doc_id, article_index")
 def translation_requests(spark, sf_dir):
     """Requests through the boundary with the stand-in that echoes, and the share of segments that come back."""
     batched = settle(translate.batches(segmented(spark, sf_dir).where(~F.col("verbatim"))))
@@ -87,14 +87,20 @@ def translation_requests(spark, sf_dir):
     return translate.parsed_replies(batched, rows).groupBy("doc_id", "article_index").agg(F.count(F.lit(1)).alias("n_returned"))
 
 
-CONVERTED = [(0, "traditional", "這是「經濟」"), (1, "simplified", "这是「经济」"), (2, "mixed", "這是『经济』"), (3, "none", "none")]
 CHARS = {"這": "这", "經": "经", "濟": "济"}
-DONE = [(0, "这是“经济”", False), (1, "这是「经济」", False), (2, "这是‘经济’", False), (3, "none", False)]
+STATES = ["traditional", "simplified", "mixed", "none"]
 
 
-@query("script_conversion", f"SELECT * FROM {tables.sql_values(DONE, 'id int, zh string, failed boolean')}")
+@query(
+    "script_conversion",
+    f"""WITH made AS (SELECT doc_id, {STATES}[(doc_id % 4)::INTEGER + 1] AS script_state, translate(text, 'aeioub', '這經濟「」『') AS text FROM documents)
+        SELECT doc_id, CASE WHEN script_state IN ('traditional', 'mixed') THEN translate(text, '這經濟「」『』', '这经济“”‘’') ELSE text END AS zh, false AS failed FROM made""",
+)
 def script_conversion(spark, sf_dir):
-    return translate.converted(tables.fixture(spark, CONVERTED, "id int, script_state string, text string"), CHARS).select("id", "zh", "failed")
+    """Documents with characters of the table and quotation marks in place of letters, a script state to each by its number."""
+    state = F.get(F.array(*map(F.lit, STATES)), (F.col("doc_id") % 4).cast("int"))
+    rows = tables.read(spark, sf_dir, "documents").select("doc_id", state.alias("script_state"), F.translate("text", "aeioub", "這經濟「」『").alias("text"))
+    return translate.converted(rows, CHARS).select("doc_id", "zh", "failed")
 
 
 AS_OF = "2024-01-31 00:00:00"
@@ -135,13 +141,11 @@ def article_results(spark, sf_dir):
     return render.results(rendered(spark, sf_dir)).drop("output_path")
 
 
-@query("run_logs", f"WITH {PAIRED_SQL} SELECT count(*) AS n_articles, count(*) AS n_logs FROM articles")
+@query("run_logs", f"WITH {PAIRED_SQL} SELECT a.title, (SELECT count(*) FROM paired p WHERE p.doc_id = a.doc_id AND p.article_index = a.article_index AND p.role = 'body')::INTEGER AS n_paragraphs, (SELECT count(*) FROM paired p WHERE p.doc_id = a.doc_id AND p.article_index = a.article_index AND p.role = 'body' AND p.failed)::INTEGER AS n_failed, 'bilingual' AS mode FROM articles a")
 def run_logs(spark, sf_dir):
-    """Each article's summary as one JSON document that reads back to the same title."""
-    rows = render.results(rendered(spark, sf_dir))
-    logs = tables.run_log(rows)
-    back = F.get_json_object("value", "$.title")
-    return logs.agg(F.count(F.lit(1)).alias("n_articles"), F.count_if(back.isNotNull()).alias("n_logs"))
+    """Each article's summary as one JSON document, read back."""
+    back = F.from_json("value", "title string, n_paragraphs int, n_failed int, mode string")
+    return tables.run_log(render.results(rendered(spark, sf_dir))).select(back.alias("r")).select("r.*")
 
 
 @query("split_accuracy", f"WITH {SLICES_SQL}, n AS (SELECT doc_id, count(*) AS n_articles FROM articles GROUP BY doc_id) SELECT page_id AS doc_id, 1 AS expected_articles, coalesce(n_articles, 0) AS n_articles, coalesce(n_articles, 0) = 1 AS correct FROM pages LEFT JOIN n ON doc_id = page_id")
@@ -187,12 +191,18 @@ def judge_samples(spark, sf_dir):
     return m.judge_samples(turns(spark, sf_dir), ["conv_id"], ["turn"]).drop("failed")
 
 
-SCORES = [(1, '{"accuracy": 5, "fluency": 4}'), (1, '```json\n{"accuracy": 4, "fluency": 4}\n```'), (1, "none"), (2, "none"), (3, '{"accuracy": 3}'), (3, '{"accuracy": 2, "fluency": 1')]
-
-
-@query("judge_means", f"SELECT * FROM {tables.sql_values([(1, 4.5, 4.0, 2), (2, None, None, 0), (3, 2.0, 1.0, 1)], 'item int, accuracy double, fluency double, n long')}")
+@query(
+    "judge_means",
+    """WITH s AS (SELECT doc_id % 20 AS item, CASE WHEN doc_id % 7 IN (0, 1) THEN NULL ELSE quality + 3 END AS a, toxic + 2 AS f FROM labels)
+       SELECT item, round(avg(a), 2) AS accuracy, round(avg(CASE WHEN a IS NOT NULL THEN f END), 2) AS fluency, count(a) AS n FROM s GROUP BY item""",
+)
 def judge_means(spark, sf_dir):
-    return m.judge_means(tables.fixture(spark, SCORES, "item int, body string"), ["item"])
+    """Labels as a judge's replies: some are no JSON, some lack a score, some a brace, some are fenced."""
+    k = F.col("doc_id") % 7
+    accuracy = F.concat(F.lit('{"accuracy": '), (F.col("quality") + 3).cast("string"))
+    whole = F.concat(accuracy, F.lit(', "fluency": '), (F.col("toxic") + 2).cast("string"))
+    body = F.when(k == 0, "none").when(k == 1, F.concat(accuracy, F.lit("}"))).when(k == 2, whole).when(k == 3, F.concat(F.lit("```json\n"), whole, F.lit("}\n```"))).otherwise(F.concat(whole, F.lit("}")))
+    return m.judge_means(tables.read(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("item"), body.alias("body")), ["item"])
 
 
 EVENTS_SQL = """jobs AS (SELECT event_id::VARCHAR AS id, ts AS created_at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' ELSE 'done' END AS status, value / 1000 AS cost_usd, user_id FROM events)"""
@@ -223,19 +233,24 @@ def job_history(spark, sf_dir):
     return jobs.recent(job_table(spark, sf_dir), 500).select("id", "created_at", "status")
 
 
-UPLOADS = [
-    (0, None, 1, "economist", ["econ"]), (1, "a.txt", 1, "economist", []), (2, "a.PDF", 26 * 1024 * 1024, "economist", []), (3, "a.pdf", 25 * 1024 * 1024, "plain", []), (4, "a.pdf", 1, "academy", ["cs", "x", "y"]),
-    (5, "a.pdf", 1, "academy", []), (6, "a.pdf", 1, "economist", ["cs", "econ", "cs"]), (7, "b.pdf", 1, "economist", None),
-]
-CHECKED = [
-    (0, "missing file field 'pdf'", ["econ"]), (1, "only .pdf files are accepted", []), (2, "file exceeds the 25 MB limit", []), (3, "unknown base style 'plain'", []), (4, "unknown domain(s): x, y", ["cs", "x", "y"]), (5, None, ["cs"]), (6, None, ["cs", "econ"]), (7, None, ["econ"]),
-]
+STYLES, DOMAINS, CHOSEN = ["economist", "academy"], ["econ", "cs", "pm"], [["econ"], [], ["cs", "x", "y"], ["cs", "econ", "cs"], None]
 
 
-@query("upload_checks", f"SELECT id, error, domains FROM {tables.sql_values(CHECKED, 'id int, error string, domains array<string>')}")
+@query(
+    "upload_checks",
+    f"""WITH u AS (SELECT event_id AS id, CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'a.txt' WHEN 2 THEN 'A.PDF' ELSE event_type || '.pdf' END AS file_name, (event_id % 53) * 524288 AS n_bytes, CASE event_id % 13 WHEN 0 THEN 'plain' WHEN 1 THEN 'academy' ELSE 'economist' END AS base_style,
+                        list_distinct(coalesce(CASE event_id % 5 WHEN 0 THEN ['econ'] WHEN 1 THEN [] WHEN 2 THEN ['cs', 'x', 'y'] WHEN 3 THEN ['cs', 'econ', 'cs'] END, [])) AS domains FROM events),
+        e AS (SELECT *, CASE WHEN file_name IS NULL THEN 'missing file field ' || chr(39) || 'pdf' || chr(39) WHEN lower(file_name) NOT LIKE '%.pdf' THEN 'only .pdf files are accepted' WHEN n_bytes > 26214400 THEN 'file exceeds the 25 MB limit' WHEN base_style = 'plain' THEN 'unknown base style ' || chr(39) || 'plain' || chr(39)
+                             WHEN list_contains(domains, 'x') THEN 'unknown domain(s): x, y' END AS error FROM u)
+        SELECT id, error, list_sort(CASE WHEN error IS NULL AND len(domains) = 0 THEN [CASE base_style WHEN 'economist' THEN 'econ' ELSE 'cs' END] ELSE domains END) AS domains FROM e""",
+)
 def upload_checks(spark, sf_dir):
-    rows = tables.fixture(spark, UPLOADS, "id int, file_name string, n_bytes long, base_style string, domains array<string>")
-    return jobs.checked_uploads(rows, ["economist", "academy"], ["econ", "cs", "pm"], {"economist": "econ", "academy": "cs"}).select("id", "error", "domains")
+    """Events as uploads with every fault."""
+    n = F.col("event_id")
+    name = F.when(n % 11 == 1, "a.txt").when(n % 11 == 2, "A.PDF").when(n % 11 > 2, F.concat("event_type", F.lit(".pdf")))
+    chosen = F.get(F.array(*(F.array(*map(F.lit, c)).cast("array<string>") if c is not None else F.lit(None).cast("array<string>") for c in CHOSEN)), (n % 5).cast("int"))
+    rows = tables.read(spark, sf_dir, "events").select(n.alias("id"), name.alias("file_name"), ((n % 53) * 524288).alias("n_bytes"), F.when(n % 13 == 0, "plain").when(n % 13 == 1, "academy").otherwise("economist").alias("base_style"), chosen.alias("domains"))
+    return jobs.checked_uploads(rows, STYLES, DOMAINS, {"economist": "econ", "academy": "cs"}).select("id", "error", F.sort_array("domains").alias("domains"))
 
 
 STALE_SQL = "status IN ('queued', 'running') AND created_at < TIMESTAMP '2024-01-31' - INTERVAL 45 MINUTE"
@@ -269,21 +284,37 @@ def page_cap(spark, sf_dir):
     return jobs.too_long(tables.page_sizes(lines(spark, sf_dir)), 2)
 
 
-RESULTS = [("a", "out/01-b.md", "B", 3, 1, "bilingual"), ("a", "out/00-a.md", "A", 2, 0, "bilingual"), ("b", "c.md", "C", 1, 0, "chinese_only")]
-SPENT = [("a", 1000, 500), ("a", 2000, 100)]
+RESULTS_SQL = """results AS (SELECT user_id::VARCHAR AS job_id, 'out/' || (100000000 + event_id) || '.md' AS output_path, event_type AS title, (event_id % 9)::INTEGER AS n_paragraphs, (event_id % 3)::INTEGER AS n_failed FROM events WHERE event_type <> 'click'),
+    spent AS (SELECT user_id::VARCHAR AS job_id, count(*) AS llm_calls, sum(event_id % 1000)::BIGINT AS tokens_in, sum(event_id % 300)::BIGINT AS tokens_out FROM events WHERE event_type = 'click' GROUP BY user_id)"""
+
 
+def results_of(spark, sf_dir):
+    """Events as articles of a user's job."""
+    path = F.concat(F.lit("out/"), (F.col("event_id") + 100000000).cast("string"), F.lit(".md"))
+    return tables.read(spark, sf_dir, "events").where("event_type <> 'click'").select(F.col("user_id").cast("string").alias("job_id"), path.alias("output_path"), F.col("event_type").alias("title"), (F.col("event_id") % 9).cast("int").alias("n_paragraphs"), (F.col("event_id") % 3).cast("int").alias("n_failed"), F.lit("bilingual").alias("mode"))
 
-@query("result_summary", f"SELECT * FROM {tables.sql_values([('a', '00-a.md,01-b.md', 1, 2, 3000, 600, 0.00147), ('b', 'c.md', 0, None, None, None, None)], 'job_id string, files string, n_failed long, llm_calls long, tokens_in long, tokens_out long, cost_usd double')}")
+
+@query(
+    "result_summary",
+    f"""WITH {RESULTS_SQL}, r AS (SELECT job_id, string_agg(output_path[5:], ',' ORDER BY output_path) AS files, sum(n_failed)::BIGINT AS n_failed FROM results GROUP BY job_id)
+        SELECT job_id, files, n_failed, llm_calls, tokens_in, tokens_out, round(tokens_in / 1e6 * 0.27::DOUBLE + tokens_out / 1e6 * 1.1::DOUBLE, 8) AS cost_usd FROM r LEFT JOIN spent USING (job_id)""",
+)
 def result_summary(spark, sf_dir):
-    found = jobs.result_summary(tables.fixture(spark, RESULTS, "job_id string, output_path string, title string, n_paragraphs int, n_failed int, mode string"), tables.fixture(spark, SPENT, "job_id string, input_tokens long, output_tokens long"))
+    clicks = tables.read(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").cast("string").alias("job_id"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 300).alias("output_tokens"))
+    found = jobs.result_summary(results_of(spark, sf_dir), clicks)
     files = F.array_join(F.transform("articles", lambda a: a["filename"]), ",")
     return found.select("job_id", files.alias("files"), "n_failed", "llm_calls", "tokens_in", "tokens_out", F.round("cost_usd", 8).alias("cost_usd"))
 
 
-@query("run_summary", "SELECT 0 AS part, 'a.md' AS key, 'A: 2 paragraphs, 1 failed' AS line UNION ALL SELECT 1, 'Term', 'review: Term => 词'")
+@query(
+    "run_summary",
+    f"""WITH {RESULTS_SQL} SELECT 0 AS part, output_path AS key, title || ': ' || n_paragraphs || ' paragraphs, ' || n_failed || ' failed' AS line FROM results
+        UNION ALL SELECT 1, 'p' || page_id, 'review: p' || page_id || ' => ' || url FROM pages WHERE page_id % 2 = 0""",
+)
 def run_summary(spark, sf_dir):
-    added = tables.fixture(spark, [("Term", "词", "llm_fallback"), ("Sure", "真", "web_search")], "en string, zh string, source string")
-    return jobs.run_summary(tables.fixture(spark, [("a.md", "A", 2, 1)], "output_path string, title string, n_paragraphs int, n_failed int"), added)
+    """Events as articles and pages as new terms, every second of them by the model alone."""
+    added = tables.read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("en"), F.col("url").alias("zh"), F.when(F.col("page_id") % 2 == 0, "llm_fallback").otherwise("web_search").alias("source"))
+    return jobs.run_summary(results_of(spark, sf_dir), added)
 
 
 SNAPSHOT_SQL = """snaps AS (SELECT user_id::VARCHAR AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),

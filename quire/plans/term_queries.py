@@ -57,21 +57,22 @@ def glossary_remove(spark, sf_dir):
 
 SEEDS = [("econ", 0, "Reseeded", "再", None, "seed", "2023-01-01"), ("pm", 0, "Roadmap", "路线图", "plan", "seed", "2023-01-01"), ("pm", 1, "roadmap", "路线", None, "seed", None), ("pm", 2, "Sprint", "冲刺", None, None, None)]
 SEED_SCHEMA = "domain string, seq int, en string, zh string, category string, source string, added_date string"
-SEEDED = [("pm", "roadmap", "Roadmap", "路线图", "plan", "seed", "2023-01-01"), ("pm", "sprint", "Sprint", "冲刺", "uncategorized", "web_search", AS_OF)]
+SEEDED_SQL = f"""fresh AS (SELECT * FROM {tables.sql_values(SEEDS, SEED_SCHEMA)} WHERE domain NOT IN ('econ', 'cs')),
+    firsts AS (SELECT domain, lower(en) AS en_lower, en, zh, coalesce(category, 'uncategorized') AS category, coalesce(source, 'web_search') AS source, coalesce(added_date, '{AS_OF}') AS added_date
+               FROM fresh QUALIFY row_number() OVER (PARTITION BY domain, lower(en) ORDER BY seq) = 1)"""
 
 
-@query("glossary_seed_once", f"SELECT * FROM {GLOSSARY_SQL} UNION ALL SELECT * FROM {tables.sql_values(SEEDED, TERM_SCHEMA)}")
+@query("glossary_seed_once", f"WITH {SEEDED_SQL} SELECT {FIELDS} FROM {GLOSSARY_SQL} UNION ALL SELECT {FIELDS} FROM firsts ANTI JOIN {GLOSSARY_SQL} g USING (domain, en_lower)")
 def glossary_seed_once(spark, sf_dir):
     """econ was seeded before, pm is new."""
     return g.seed_once(glossary(spark), tables.fixture(spark, [("econ",), ("cs",)], "domain string"), tables.fixture(spark, SEEDS, SEED_SCHEMA), AS_OF)[0]
 
 
-OLD = [("economist", "a"), ("academy", "b"), ("pm", "c")]
-
-
-@query("glossary_upgrade", f"SELECT * FROM {tables.sql_values([('econ', 'a'), ('cs', 'b'), ('pm', 'c')], 'domain string, en_lower string')}")
+@query("glossary_upgrade", "SELECT doc_id, CASE source WHEN 'src1' THEN 'econ' WHEN 'src2' THEN 'cs' ELSE source END AS domain FROM documents")
 def glossary_upgrade(spark, sf_dir):
-    return g.upgraded(g.upgraded(tables.fixture(spark, OLD, "style string, en_lower string")))
+    """Documents as rows of the older schema, two of their sources as its styles; upgraded twice."""
+    style = F.when(F.col("source") == "src1", "economist").when(F.col("source") == "src2", "academy").otherwise(F.col("source"))
+    return g.upgraded(g.upgraded(tables.read(spark, sf_dir, "documents").select("doc_id", style.alias("style"))))
 
 
 @query("known_terms", f"SELECT string_agg(en, ', ' ORDER BY en) AS known FROM {MERGED_SQL}")
@@ -129,7 +130,6 @@ def verdict_apply(spark, sf_dir):
 ACCEPTED = [(1, 0, 0, "Swap Line"), (1, 0, 1, "Basis"), (2, 0, 0, "swap line"), (2, 1, 0, "Carry")]
 DIGESTS = [(1, 0, "Swap Line", "d"), (2, 1, "Carry", "d")]
 RENDERED = [(1, 0, "Swap Line", "互换额度"), (1, 0, "Basis", " "), (2, 0, "swap line", "掉期"), (2, 0, "Swap Line", "x"), (2, 1, "Carry", "套利")]
-RESOLVED = [(1, 0, 0, "Swap Line", "互换额度", "web_search"), (2, 0, 0, "swap line", "掉期", "llm_fallback"), (2, 1, 0, "Carry", "套利", "web_search")]
 KEYED = "doc_id int, article_index int, "
 
 
@@ -138,22 +138,37 @@ def resolved(spark):
     return g.resolved_terms(one(ACCEPTED, "cand_seq int, term string"), one(DIGESTS, "term string, digest string"), one(RENDERED, "term string, zh string"))
 
 
-@query("term_research", f"SELECT * FROM {tables.sql_values(RESOLVED, KEYED + 'cand_seq int, term string, zh string, source string')}")
+RESEARCH_SQL = f"""accepted AS (SELECT * FROM {tables.sql_values(ACCEPTED, KEYED + "cand_seq int, term string")}), digests AS (SELECT * FROM {tables.sql_values(DIGESTS, KEYED + "term string, digest string")}),
+    rendered AS (SELECT * FROM {tables.sql_values(RENDERED, KEYED + "term string, zh string")}),
+    resolved AS (SELECT a.*, trim(r.zh) AS zh, CASE WHEN d.term IS NULL THEN 'llm_fallback' ELSE 'web_search' END AS source FROM accepted a JOIN rendered r USING (doc_id, article_index, term) LEFT JOIN digests d USING (doc_id, article_index, term) WHERE trim(r.zh) <> '')"""
+
+
+@query("term_research", f"WITH {RESEARCH_SQL} SELECT * FROM resolved")
 def term_research(spark, sf_dir):
     return resolved(spark)
 
 
-@query("glossary_update", f"SELECT * FROM {tables.sql_values([('econ', 'swap line', 'Swap Line', '互换额度', 'uncategorized', 'web_search', AS_OF), ('cs', 'swap line', 'swap line', '掉期', 'uncategorized', 'llm_fallback', AS_OF), ('cs', 'carry', 'Carry', '套利', 'uncategorized', 'web_search', AS_OF)], TERM_SCHEMA)}")
+@query(
+    "glossary_update",
+    f"""WITH {RESEARCH_SQL}, placed AS (SELECT CASE doc_id WHEN 1 THEN 'econ' ELSE 'cs' END AS domain, lower(term) AS en_lower, term AS en, zh, 'uncategorized' AS category, source, '{AS_OF}' AS added_date, doc_id, article_index, cand_seq FROM resolved),
+        firsts AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY domain, en_lower ORDER BY doc_id, article_index, cand_seq) = 1)
+        SELECT {FIELDS} FROM firsts ANTI JOIN {GLOSSARY_SQL} g USING (domain, en_lower)""",
+)
 def glossary_update(spark, sf_dir):
     return g.updated(glossary(spark), resolved(spark), tables.fixture(spark, [(1, "econ"), (2, "cs")], "doc_id int, domain string"), AS_OF)[1]
 
 
-HITS = [("a", 1, "T1", "one"), ("a", 2, "T2", " "), ("a", 3, "T3", "x" * 300), ("a", 4, "T4", "four"), ("b", 1, "T", None)]
+HITS_SQL = "hits AS (SELECT conv_id AS term, turn + 1 AS rank, role AS title, CASE WHEN turn % 4 = 1 THEN ' ' ELSE text END AS content FROM conversations)"
 
 
-@query("search_digests", f"SELECT 'a' AS term, '- T1: one' || chr(10) || '- T3: ' || repeat('x', 240) AS digest, 2::BIGINT AS n_hits FROM (SELECT 1)")
+@query(
+    "search_digests",
+    f"""WITH {HITS_SQL} SELECT term, string_agg('- ' || coalesce(title, '') || ': ' || left(content, 240), chr(10) ORDER BY rank) AS digest, count(*) AS n_hits FROM hits WHERE rank <= 3 AND trim(coalesce(content, '')) <> '' GROUP BY term""",
+)
 def search_digests(spark, sf_dir):
-    return tables.search_digests(tables.fixture(spark, HITS, "term string, rank int, title string, content string"))
+    """Conversations as searches and turns as their hits, some without content."""
+    content = F.when(F.col("turn") % 4 == 1, " ").otherwise(F.col("text"))
+    return tables.search_digests(tables.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("term"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("title"), content.alias("content")))
 
 
 @query(
@@ -180,10 +195,11 @@ def glossary_audit(spark, sf_dir):
     return kept.withColumn("verdict", F.lit(None).cast("string")).unionByName(gone.drop("minimal_form", "audited_date"))
 
 
-OCCURRENCES_SQL = rf"""{LINES_SQL}, {PAIRS_SQL},
-    variants AS (SELECT en_lower AS term, zh, list_filter(list_transform([zh, string_split(zh, '（')[1], replace(replace(zh, '《', ''), '》', '')], lambda v: trim(v)), lambda v: length(v) >= 2) AS vs FROM {MERGED_SQL}),
+#: Of the relation pairs.
+HITS_OF_PAIRS = rf"""variants AS (SELECT en_lower AS term, zh, list_filter(list_transform([zh, string_split(zh, '（')[1], replace(replace(zh, '《', ''), '》', '')], lambda v: trim(v)), lambda v: length(v) >= 2) AS vs FROM {MERGED_SQL}),
     occurrences AS (SELECT p.doc_id, p.seg_seq, v.term, v.zh, len(list_filter(v.vs, lambda x: contains(p.zh, x))) > 0 AS hit FROM pairs p JOIN variants v
                     ON NOT p.failed AND p.en <> '' AND contains(lower(p.en), v.term) AND regexp_matches(lower(p.en), '(^|[^a-z0-9])' || regexp_escape(v.term) || '($|[^a-z0-9])'))"""
+OCCURRENCES_SQL = f"{LINES_SQL}, {PAIRS_SQL}, {HITS_OF_PAIRS}"
 
 
 def occurrences(spark, sf_dir):
@@ -218,14 +234,21 @@ def term_metrics(spark, sf_dir):
     return m.evaluation(rendered_pairs(spark, sf_dir).join(docs, "doc_id"), g.merged(glossary(spark), ranks(spark)), "lang")
 
 
-@query("baseline_adherence")
+BASELINE_SQL = "w AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, line_seq) AS whole FROM lines GROUP BY doc_id)"
+
+
+@query(
+    "baseline_adherence",
+    f"""WITH {LINES_SQL}, {BASELINE_SQL}, pairs AS (SELECT doc_id, 0 AS seg_seq, left(whole, 12000) AS en, replace(lower(left(whole, 12000)), 'license', '许可证') AS zh, false AS failed FROM w), {HITS_OF_PAIRS}
+        SELECT doc_id, avg(hit::INTEGER) AS adherence, count(*) AS n_occurrences FROM occurrences GROUP BY doc_id""",
+)
 def baseline_adherence(spark, sf_dir):
     """A single prompt sees the start of a document; its rendering is one pair."""
     whole = m.baseline_text(lines(spark, sf_dir)).select("doc_id", F.col("text").alias("en"), F.replace(F.lower("text"), F.lit("license"), F.lit("许可证")).alias("zh"))
     return m.baseline_adherence(whole, g.merged(glossary(spark), ranks(spark)))
 
 
-@query("baseline_text", f"WITH {LINES_SQL}, w AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, line_seq) AS whole FROM lines GROUP BY doc_id) SELECT doc_id, left(whole, 12000) AS text, length(whole) > 12000 AS truncated FROM w")
+@query("baseline_text", f"WITH {LINES_SQL}, {BASELINE_SQL} SELECT doc_id, left(whole, 12000) AS text, length(whole) > 12000 AS truncated FROM w")
 def baseline_text(spark, sf_dir):
     return m.baseline_text(lines(spark, sf_dir))
 

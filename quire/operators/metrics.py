@@ -43,8 +43,9 @@ def consistency(occurrences: DataFrame, by: list[str] | None = None) -> DataFram
     return terms.groupBy(*by).agg(F.coalesce(F.avg(F.col("all_hit").cast("int")), F.lit(1.0)).alias("consistency"), F.count(F.lit(1)).alias("n_terms"))
 
 
-def boundary_f1(produced: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
-    """produced and reference (.., text): F1 of equal paragraphs. A repeated paragraph counts in its list's length, once among the matches."""
+def boundary_f1(produced: DataFrame, reference: DataFrame, by: list[str], items: DataFrame | None = None) -> DataFrame:
+    """produced and reference (.., text): F1 of equal paragraphs. A repeated paragraph counts in its list's length, once among the matches.
+    items: keys that are to have a row in any case, with null f1 where there is no reference."""
     clean = lambda df: df.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("text <> ''").select(*by, "text")
     made, known = clean(produced), clean(reference)
     matches = made.distinct().join(known.distinct(), [*by, "text"]).groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
@@ -53,7 +54,8 @@ def boundary_f1(produced: DataFrame, reference: DataFrame, by: list[str]) -> Dat
     precision = F.when(F.col("n_produced") > 0, F.col("m") / F.col("n_produced")).otherwise(0.0)
     recall = F.col("m") / F.col("n_reference")
     f1 = F.when(precision + recall == 0, 0.0).otherwise(F.round(2 * precision * recall / (precision + recall), 3))
-    return rows.select(*by, "n_produced", "n_reference", F.col("m").alias("n_matches"), f1.alias("f1"))
+    rows = rows.select(*by, "n_produced", "n_reference", F.col("m").alias("n_matches"), f1.alias("f1"))
+    return rows if items is None else items.select(*by).distinct().join(rows, by, "left")
 
 
 def judge_samples(pairs: DataFrame, by: list[str], order: list[str], most: int = SAMPLES) -> DataFrame:

@@ -78,18 +78,26 @@ def drop_embedded_translation(lines: DataFrame) -> DataFrame:
     return lines.withColumn("english", latin > han).where(~(F.col("english") & t.is_chinese(F.col("text")))).drop("english")
 
 
-def route(articles: DataFrame, changed_by_s2t: Column | None = None, changed_by_t2s: Column | None = None) -> DataFrame:
-    """articles (.., title, subtitle, paragraphs) with latin, han, has_english and script_state. The two columns say whether conversion
-    to either script would change the article's first 4000 characters; without them Han text counts as simplified."""
+#: Fixed value: characters of an article that tell its script.
+SCRIPT_SAMPLE = 4000
+
+
+def route(articles: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
+    """articles (.., title, subtitle, paragraphs) with latin, han, has_english and script_state. table: traditional to simplified characters; a text that
+    either direction would change within its first characters has that script, or both."""
     whole = F.concat_ws(" ", "title", "subtitle", F.array_join("paragraphs", " "))
-    a, b = changed_by_s2t if changed_by_s2t is not None else F.lit(False), changed_by_t2s if changed_by_t2s is not None else F.lit(False)
+    sample = t.preview(F.col("whole"), SCRIPT_SAMPLE)
+    old, new = "".join(table or {}), "".join((table or {}).values())
+    a, b = F.translate(sample, new, old) != sample, F.translate(sample, old, new) != sample
     state = F.when(F.col("han") == 0, "none").when(a & b, "mixed").when(b, "traditional").otherwise("simplified")
-    counted = articles.withColumn("latin", t.latin_count(whole).cast("long")).withColumn("han", t.han_count(whole).cast("long"))
-    return counted.withColumn("has_english", F.col("latin") > F.col("han")).withColumn("script_state", state)
+    counted = articles.withColumn("whole", whole).withColumn("latin", t.latin_count(F.col("whole")).cast("long")).withColumn("han", t.han_count(F.col("whole")).cast("long"))
+    return counted.withColumn("has_english", F.col("latin") > F.col("han")).withColumn("script_state", state).drop("whole")
 
 
-def english_paragraphs(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paragraphs that are not Chinese, and one row of information for each article that lost some."""
+def english_paragraphs(paragraphs: DataFrame, titles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs that are not Chinese, with their other columns, and one row for each article that lost some; of titles (.., title) 40 characters."""
     chinese = t.is_chinese(F.col("text"))
     lost = paragraphs.where(chinese).groupBy("doc_id", "article_index").agg(F.count(F.lit(1)).alias("n_dropped"))
+    if titles is not None:
+        lost = lost.join(titles.select("doc_id", "article_index", t.preview(F.col("title"), 40).alias("title")), ["doc_id", "article_index"], "left")
     return paragraphs.where(~chinese), lost.withColumn("severity", F.lit("info"))

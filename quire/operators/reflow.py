@@ -89,19 +89,20 @@ def open_paragraphs(rows: list[dict]) -> list[dict]:
         here = (r["page"], r["col"])
         if here != column or r["breaks"] or abs(r["font_size"] - head) > 1.0:
             head, column = r["font_size"], here
-            out.append({"para_seq": len(out), "page": r["page"], "font_size": head, "special": r["special"], "text": r["text"], "n_lines": 1})
+            out.append({"para_seq": len(out), "page": r["page"], "font_size": head, "special": r["special"], "clip": r["clip"], "text": r["text"], "n_lines": 1})
         else:
             out[-1]["text"] = joined(out[-1]["text"], r["text"])
             out[-1]["n_lines"] += 1
     return out
 
 
-PARAGRAPH = "para_seq int, page int, font_size double, special string, text string, n_lines int"
+CLIP = "struct<x0:double,y0:double,x1:double,y1:double>"
+PARAGRAPH = f"para_seq int, page int, font_size double, special string, clip {CLIP}, text string, n_lines int"
 
 
 def reflow_columns(lines: DataFrame) -> DataFrame:
-    """(doc_id, para_seq, page, font_size, special, text, n_lines) in reading order. Thresholds are windows and joins; the fold carries one number."""
-    placed = settle(columns(lines))
+    """(doc_id, para_seq, page, font_size, special, clip, text, n_lines) in reading order; a formula is a paragraph of its own and keeps its clip. Thresholds are windows and joins; the fold carries one number."""
+    placed = settle(columns(with_clip(lines)))
     key = ["doc_id", "page", "col"]
     gaps, cut = gap_thresholds(placed), short_line_cutoffs(placed)
     own = gaps.where(F.col("size").isNotNull()).withColumnRenamed("gap", "own_gap")
@@ -114,7 +115,7 @@ def reflow_columns(lines: DataFrame) -> DataFrame:
         | (step > F.coalesce("own_gap", "gap") * GAP_RATIO)
         | (F.col("cutoff").isNotNull() & (step > 0.5 * back("font_size")) & (F.col("right_edge") - back("x1") > F.col("cutoff")))
     )
-    rows = rows.withColumn("breaks", F.coalesce(breaks, F.lit(False))).select(*key, "pos", "font_size", "special", "text", "breaks")
+    rows = rows.withColumn("breaks", F.coalesce(breaks, F.lit(False))).select(*key, "pos", "font_size", "special", "clip", "text", "breaks")
     return per_document(rows, ["doc_id"], ["page", "col", "pos"], open_paragraphs, PARAGRAPH)
 
 
@@ -161,11 +162,11 @@ def stitch(rows: list[dict]) -> list[dict]:
         if out and r["continues"] and abs(out[-1]["font_size"] - r["font_size"]) <= 1.0:
             out[-1]["text"] = joined(out[-1]["text"], r["text"])
         else:
-            out.append({k: r[k] for k in ("para_seq", "page", "font_size", "special", "text", "is_heading", "font_heading")})
+            out.append({k: r[k] for k in ("para_seq", "page", "font_size", "special", "clip", "text", "is_heading", "font_heading")})
     return out
 
 
-STITCHED = "para_seq int, page int, font_size double, special string, text string, is_heading boolean, font_heading boolean"
+STITCHED = f"para_seq int, page int, font_size double, special string, clip {CLIP}, text string, is_heading boolean, font_heading boolean"
 
 
 def merge_continuations(paragraphs: DataFrame) -> DataFrame:
@@ -177,10 +178,14 @@ def merge_continuations(paragraphs: DataFrame) -> DataFrame:
     continues = (
         ~back("is_heading") & ~F.col("is_heading") & back("special").isNull() & F.col("special").isNull() & ~t.ends_terminal(back("text")) & t.starts_like_continuation(text, back("text"))
     )
-    rows = paragraphs.withColumn("continues", F.coalesce(continues, F.lit(False))).select("doc_id", "para_seq", "page", "font_size", "special", "text", "is_heading", "font_heading", "continues")
+    rows = with_clip(paragraphs).withColumn("continues", F.coalesce(continues, F.lit(False))).select("doc_id", "para_seq", "page", "font_size", "special", "clip", "text", "is_heading", "font_heading", "continues")
     return per_document(rows, ["doc_id"], ["para_seq"], stitch, STITCHED)
 
 
+def with_clip(rows: DataFrame) -> DataFrame:
+    return rows if "clip" in rows.columns else rows.withColumn("clip", F.lit(None).cast(CLIP))
+
+
 def reflow(lines: DataFrame) -> DataFrame:
     """Lines to paragraphs with headings marked; para_seq has holes where paragraphs were joined."""
     if "special" not in lines.columns:
@@ -188,6 +193,17 @@ def reflow(lines: DataFrame) -> DataFrame:
     return merge_continuations(demote_split_callouts(mark_headings(settle(reflow_columns(lines)))))
 
 
+#: What a crop takes around a formula, in points, and its dots per inch.
+CROP_PAD, CROP_DPI = 4.0, 200
+
+
+def crops(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, para_seq, page, x0, y0, x1, y1, zoom) of the formulas: the part of the page that a picture has to show. The picture is the PDF library's to make."""
+    c = lambda name, by: (F.col(f"clip.{name}") + by).alias(name)
+    rows = paragraphs.where((F.col("special") == "formula") & F.col("clip").isNotNull())
+    return rows.select("doc_id", "para_seq", "page", c("x0", -CROP_PAD), c("y0", -CROP_PAD), c("x1", CROP_PAD), c("y1", CROP_PAD), F.lit(CROP_DPI / 72).alias("zoom"))
+
+
 def formula_plan(paragraphs: DataFrame, replies: DataFrame | None = None, most: int = 30) -> DataFrame:
     """paragraphs with formulas transcribed: of each document the first `most` are asked for, and replies (doc_id, para_seq, body) fill
     them; the others, and those without a reply, get a fenced placeholder. Column asked says which were sent."""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 
-#: Characters of a preview, of leading text that is kept, of a subtitle.
-PREVIEW, LEADING, SUBTITLE = 200, 400, 160
+#: Characters of a preview, of leading text that is kept, of a subtitle; replies that may confirm headings.
+PREVIEW, LEADING, SUBTITLE, ATTEMPTS = 200, 400, 160, 2
 
 
 def in_document() -> Window:
@@ -22,14 +22,21 @@ def heading_candidates(paragraphs: DataFrame) -> DataFrame:
 
 
 def confirmed_starts(candidates: DataFrame, replies: DataFrame) -> DataFrame:
-    """(doc_id, para_seq, fallback): of the replies (doc_id, attempt, ids) the first that names a candidate counts; without one, all candidates do."""
-    named = replies.select("doc_id", "attempt", F.explode("ids").alias("para_seq")).join(candidates.select("doc_id", "para_seq"), ["doc_id", "para_seq"], "left_semi")
+    """(doc_id, para_seq, fallback): of the replies (doc_id, attempt from 0, ids) the first that names a candidate counts; without one of two, all candidates do."""
+    named = replies.where(F.col("attempt") < ATTEMPTS).select("doc_id", "attempt", F.explode("ids").alias("para_seq")).join(candidates.select("doc_id", "para_seq"), ["doc_id", "para_seq"], "left_semi")
     first = named.groupBy("doc_id").agg(F.min("attempt").alias("attempt"))
     sure = named.join(first, ["doc_id", "attempt"]).select("doc_id", "para_seq").distinct().withColumn("fallback", F.lit(False))
     rest = candidates.select("doc_id", "para_seq").join(first, "doc_id", "left_anti").withColumn("fallback", F.lit(True))
     return sure.unionByName(rest)
 
 
+def notes(paragraphs: DataFrame, candidates: DataFrame, replies: DataFrame) -> DataFrame:
+    """(doc_id, severity, note) of documents without a heading, and of those whose replies confirmed none."""
+    bare = paragraphs.groupBy("doc_id").agg(F.bool_or("font_heading").alias("any")).where(~F.col("any")).select("doc_id", F.lit("no headings; the whole document is one article").alias("note"))
+    unsure = confirmed_starts(candidates, replies).where("fallback").select("doc_id").distinct().withColumn("note", F.lit("no reply confirmed a heading; all candidates kept"))
+    return bare.unionByName(unsure).withColumn("severity", F.lit("error"))
+
+
 def subtitle(title: Column, following: Column, special: Column) -> Column:
     """The paragraph behind a title, if it is short, is no sentence, and has Han where the title has; else empty."""
     fits = following.isNotNull() & special.isNull() & (F.length(following) <= SUBTITLE) & ~following.rlike("[.。！？]$") & ~(t.has_han(title) & ~t.has_han(following))

@@ -142,7 +142,7 @@ def reflow_sql(source: str) -> str:
 @query("reflow_paragraphs", f"WITH {LINES_SQL}, {reflow_sql('lines')} SELECT * FROM reflowed")
 def reflow_paragraphs(spark, sf_dir):
     """The whole way from lines to paragraphs."""
-    return reflow.reflow(lines(spark, sf_dir).withColumn("special", F.lit(None).cast("string")))
+    return reflow.reflow(lines(spark, sf_dir).withColumn("special", F.lit(None).cast("string"))).drop("clip")
 
 
 #: The adapter puts at most two fragments on a row and no formula, so there is no region to mask.
@@ -155,7 +155,7 @@ def cleaned_paragraphs(spark, sf_dir):
     """Noise, embedded translation, regions and reflow in turn."""
     rows = lines(spark, sf_dir)
     kept = settle(drop_embedded_translation(strip_noise(rows, tables.page_sizes(rows))))
-    return reflow.reflow(regions.mask_special_regions(kept))
+    return reflow.reflow(regions.mask_special_regions(kept)).drop("clip")
 
 
 HEADINGS_SQL = rf"""{PARAGRAPHS_SQL},
@@ -208,6 +208,19 @@ def continuation_merge(spark, sf_dir):
     return reflow.merge_continuations(flags).select("doc_id", "para_seq", "text")
 
 
+@query(
+    "formula_crops",
+    f"""WITH {LINES_SQL}, rows AS (SELECT *, line_seq % CASE WHEN doc_id % 4 = 0 THEN 10 ELSE 20 END AS slot FROM lines),
+        bands AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY slot) AS band, bool_and(line_seq % 7 = 3) AS formula, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM rows GROUP BY doc_id, page, slot),
+        runs AS (SELECT *, band - row_number() OVER (PARTITION BY doc_id, page, formula ORDER BY band) AS run FROM bands)
+        SELECT doc_id, page, min(x0) - 4 AS x0, min(y0) - 4 AS y0, max(x1) + 4 AS x1, max(y1) + 4 AS y1, 200 / 72.0::DOUBLE AS zoom FROM runs WHERE formula GROUP BY doc_id, page, run""",
+)
+def formula_crops(spark, sf_dir):
+    """Every seventh line as a formula; its clip through reflow to the crop."""
+    rows = lines(spark, sf_dir).withColumn("math_only", F.col("line_seq") % 7 == 3)
+    return reflow.crops(reflow.reflow_columns(regions.mask_special_regions(rows))).drop("para_seq")
+
+
 FORMULAS = [(1, 0, "Prose.", None), (1, 1, "E = mc", "formula"), (1, 2, "a + b", "formula"), (1, 3, "[table omitted]", "table"), (2, 0, "x", "formula"), (2, 1, "y", "formula")]
 FORMULA_SCHEMA = "doc_id int, para_seq int, text string, special string"
 LATEX = [(1, 1, "```latex\n$E = mc^2$\n```"), (1, 2, "  "), (2, 1, "y")]
@@ -239,6 +252,20 @@ def heading_previews(spark, sf_dir):
     return segments.heading_candidates(marked(spark, sf_dir))
 
 
+@query(
+    "segment_notes",
+    f"WITH {HEADINGS_SQL}, d AS (SELECT doc_id, bool_or(font_heading) AS any_heading FROM marked GROUP BY doc_id) SELECT doc_id, CASE WHEN any_heading THEN 'no reply confirmed a heading; all candidates kept' ELSE 'no headings; the whole document is one article' END AS note, 'error' AS severity FROM d WHERE NOT any_heading OR doc_id % 3 = 0",
+)
+def segment_notes(spark, sf_dir):
+    """The replies of every third page name no heading; those of the others name one, some of them at the third try, which is one too late for none here."""
+    rows = marked(spark, sf_dir)
+    found = segments.heading_candidates(rows)
+    first = found.groupBy("doc_id").agg(F.min("para_seq").alias("p"))
+    ids = F.array(F.when(F.col("doc_id") % 3 == 0, -2).otherwise(F.col("p")))
+    late = first.select("doc_id", F.lit(2).alias("attempt"), F.array("p").alias("ids"))
+    return segments.notes(rows, found, first.select("doc_id", F.lit(1).alias("attempt"), ids.alias("ids")).unionByName(late))
+
+
 @query(
     "confirmed_headings",
     f"WITH {PREVIEW_SQL} SELECT doc_id, para_seq, doc_id % 3 = 0 AS fallback FROM previews WHERE font_heading AND (doc_id % 3 = 0 OR para_seq = (SELECT min(p.para_seq) FROM previews p WHERE p.font_heading AND p.doc_id = previews.doc_id))",

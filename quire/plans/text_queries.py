@@ -61,18 +61,22 @@ def non_prose_lines(spark, sf_dir):
     return rows.select("doc_id", "line_seq", t.is_non_prose(F.col("text")).alias("non_prose"))
 
 
-ROUTED = [(1, "Title", "", ["Plain English text"]), (2, "标题", "副题", ["市场上涨", "tiny"]), (3, "12", "", ["34"]), (4, "Half 一半", "", ["abcd 文文文文文文文文"])]
-ROUTED_SCHEMA = "doc_id int, title string, subtitle string, paragraphs array<string>"
+#: Traditional and simplified characters, and letters that some documents have in their place.
+SCRIPT = {"這": "这", "經": "经", "濟": "济"}
+ROUTE_SQL = f"""routed AS (SELECT doc_id, source AS title, translate(text, CASE doc_id % 5 WHEN 0 THEN '' ELSE 'aeiounrst' END, CASE doc_id % 5 WHEN 1 THEN '這經濟這經濟這經濟' WHEN 2 THEN '这经济这经济这经济' WHEN 3 THEN '這这经济經文文文文' WHEN 4 THEN '文文文文文文文文文' ELSE '' END) AS text FROM documents),
+        whole AS (SELECT doc_id, concat_ws(' ', title, '', text) AS text FROM routed),
+        counted AS (SELECT doc_id, {count_sql('text', 'A-Za-z')}::BIGINT AS latin, {count_sql('text', HAN)}::BIGINT AS han, regexp_matches(left(text, 4000), '[这经济]') AS a, regexp_matches(left(text, 4000), '[這經濟]') AS b FROM whole)"""
 
 
-@query(
-    "language_route",
-    f"""WITH w AS (SELECT doc_id, title || ' ' || subtitle || ' ' || array_to_string(paragraphs, ' ') AS text FROM {tables.sql_values(ROUTED, ROUTED_SCHEMA)}),
-        c AS (SELECT doc_id, {count_sql('text', 'A-Za-z')}::BIGINT AS latin, {count_sql('text', HAN)}::BIGINT AS han FROM w)
-        SELECT doc_id, latin, han, latin > han AS has_english, CASE WHEN han = 0 THEN 'none' ELSE 'simplified' END AS script_state FROM c""",
-)
+@query("language_route", f"WITH {ROUTE_SQL} SELECT doc_id, latin, han, latin > han AS has_english, CASE WHEN han = 0 THEN 'none' WHEN a AND b THEN 'mixed' WHEN b THEN 'traditional' ELSE 'simplified' END AS script_state FROM counted")
 def language_route(spark, sf_dir):
-    return noise.route(tables.fixture(spark, ROUTED, ROUTED_SCHEMA)).drop("title", "subtitle", "paragraphs")
+    """Documents as articles, four of five with Han characters of one script or both in place of some letters."""
+    forms = {1: "這經濟這經濟這經濟", 2: "这经济这经济这经济", 3: "這这经济經文文文文", 4: "文文文文文文文文文"}
+    text = F.col("text")
+    for k, to in forms.items():
+        text = F.when(F.col("doc_id") % 5 == k, F.translate("text", "aeiounrst", to)).otherwise(text)
+    rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.lit("").alias("subtitle"), F.array(text).alias("paragraphs"))
+    return noise.route(rows, SCRIPT).drop("title", "subtitle", "paragraphs")
 
 
 @query(

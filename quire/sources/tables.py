@@ -58,8 +58,15 @@ def manifest(spark: SparkSession, path: str, only: str | None = None) -> DataFra
     return items.where(F.contains("pdf", F.lit(only))) if only else items
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def reference_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """One paragraph a line, trimmed, none empty."""
+    """One paragraph a line, trimmed, none empty. A missing file has none, so that its metric is null."""
+    if not there(spark, path):
+        return spark.createDataFrame([], "text string")
     return spark.read.text(path).select(F.trim("value").alias("text")).where("text <> ''")
 
 
@@ -73,9 +80,20 @@ def search_digests(hits: DataFrame, most: int = 3, chars: int = 240) -> DataFram
 
 
 def write_markdown(rendered: DataFrame, path: str) -> None:
-    """rendered (output_path, md) as one text file each in a folder of its name, replaced as a whole."""
+    """rendered (output_path, md) as one text file each, path/output_path, replacing what is there. Tasks write; the driver only gives each file its name."""
     rows = rendered.select("output_path", F.regexp_replace("md", "\n$", "").alias("value"))  # the writer ends it with a line break
-    rows.repartition("output_path").write.mode("overwrite").partitionBy("output_path").text(path)
+    made = f"{path}/.made"
+    rows.repartition("output_path").write.mode("overwrite").partitionBy("output_path").text(made)
+    context = rendered.sparkSession.sparkContext
+    of = context._jvm.org.apache.hadoop.fs.Path
+    files = of(path).getFileSystem(context._jsc.hadoopConfiguration())
+    for folder in files.listStatus(of(made)):
+        if folder.isDirectory():
+            name = context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().split("=", 1)[1])
+            parts = files.globStatus(of(folder.getPath(), "part-*"))
+            files.delete(of(f"{path}/{name}"), False)
+            files.rename(parts[0].getPath(), of(f"{path}/{name}"))
+    files.delete(of(made), True)
 
 
 def run_log(summary: DataFrame) -> DataFrame:

@@ -135,19 +135,19 @@ def test_padding_against_a_plain_walk(spark):
     r = random.Random(2)
     texts = ["".join(r.choices(["$", "x", "价", " ", "\\", "\n", "1"], k=r.randint(0, 12))) for _ in range(1500)]
 
+    def spans(text):
+        """Pairs of signs, the first neither escaped nor behind another, the next sign closing it on the same line and with no third behind it."""
+        i = 0
+        while 0 <= (i := text.find("$", i)):
+            j = text.find("$", i + 1)
+            if text[max(0, i - 1) : i] not in ("$", "\\") and j > i + 1 and "\n" not in text[i:j] and text[j + 1 : j + 2] != "$":
+                yield i, j
+                i = j
+            i += 1
+
     def walk(text):
-        import re
-
-        out, last = "", 0
-        for m in re.finditer(r"(?<![$\\])\$[^$\n]+?\$(?!\$)", text):
-            out += text[last : m.start()]
-            if text[last : m.start()] and not out[-1].isspace():
-                out += " "
-            out += m[0]
-            if m.end() < len(text) and not text[m.end()].isspace():
-                out += " "
-            last = m.end()
-        return out + text[last:]
+        gaps = {i for i, _ in spans(text) if i and not text[i - 1].isspace()} | {j + 1 for _, j in spans(text) if text[j + 1 : j + 2].strip()}
+        return "".join(" " * (k in gaps) + c for k, c in enumerate(text))
 
     df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
     got = {r["i"]: r["p"] for r in df.select("i", t.pad_inline_math(F.col("s")).alias("p")).collect()}

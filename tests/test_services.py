@@ -37,11 +37,12 @@ def test_files(spark, tmp_path):
     assert [r["pdf"] for r in tables.manifest(spark, str(tmp_path / "m.json"), "a").collect()] == ["a.pdf"]
     (tmp_path / "ref.txt").write_text(" one \n\ntwo\n")
     assert [r["text"] for r in tables.reference_paragraphs(spark, str(tmp_path / "ref.txt")).collect()] == ["one", "two"]
-    rendered = spark.createDataFrame([("00-a.md", "# A\n\ntext\n"), ("01-b.md", "# B\n")], "output_path string, md string")
+    rendered = spark.createDataFrame([("00-a.md", "# A\n\ntext\n"), ("01-标题-b.md", "# B\n")], "output_path string, md string")
     for _ in range(2):
         tables.write_markdown(rendered, str(tmp_path / "out"))
-    found = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("part-*")}
-    assert found == {"output_path=00-a.md": "# A\n\ntext\n", "output_path=01-b.md": "# B\n"}
+    found = {p.name: p.read_text() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")}
+    assert found == {"00-a.md": "# A\n\ntext\n", "01-标题-b.md": "# B\n"}
+    assert tables.reference_paragraphs(spark, str(tmp_path / "none.txt")).count() == 0
     tables.write_json(spark.createDataFrame([(1, "x")], "n int, s string"), str(tmp_path / "log"))
     assert json.loads(spark.read.text(str(tmp_path / "log")).first()[0]) == {"n": 1, "s": "x"}
     for _ in range(2):
@@ -93,6 +94,61 @@ def test_progress_stream_matches_the_batch(spark, tmp_path):
     assert got == want and ("a", 6, "finished 2 article(s)") in got
 
 
+class Page:
+    def __init__(self, lines):
+        self.rect = type("Rect", (), {"width": 595.0, "height": 842.0})()
+        self.lines = lines
+
+    def get_text(self, kind):
+        assert kind == "dict"
+        spans = lambda parts: [{"font": f, "text": s, "size": z} for f, s, z in parts]
+        return {"blocks": [{"type": 1}, {"lines": [{"bbox": (10.0, y, 300.0, y + 12), "spans": spans(parts)} for y, parts in self.lines]}]}
+
+
+class Pdf(list):
+    __enter__, __exit__ = lambda self: self, lambda self, *a: None
+
+
+def test_pdf_lines_enter_the_engine(spark, monkeypatch):
+    """A stand-in for the library, read as a task would, and all the way to formulas and paragraphs."""
+    import sys
+    import types
+
+    from quire.operators import noise, reflow, regions
+
+    body = [(100.0 + 14 * k, [("Times", f"A  line\xa0of  prose {k}", 12.0), ("Times-Bold", " and more.", 11.0)]) for k in range(12)]
+    formula = [(100.0 + 14 * 12 + 10, [("CMMI10", "E = mc", 12.0)])]
+    pages = Pdf([Page(body + formula + [(400.0, [("Times", " \n ", 12.0)])]), Page([(800.0, [("Times", "2", 9.0)]), (90.0, [("Times", "The last words stand here.", 12.0)])])])
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=lambda path: pages))
+    rows = list(pdf.PdfReader({"path": "/x/an article.pdf"}).read(pdf.OneFile("/x/an article.pdf")))
+    assert [r[1] for r in rows] == list(range(15)) and rows[0][9:11] == ("A line of prose 0 and more.", 12.0)
+    raw = spark.createDataFrame(rows, pdf.SCHEMA)
+    lines = pdf.as_lines(raw)
+    assert lines.where("math_only").count() == 1 and pdf.as_pages(raw).count() == 2 and pdf.stems(raw).first()["stem"] == "an article"
+    kept = noise.strip_noise(lines, pdf.as_pages(raw))
+    paragraphs = reflow.reflow(regions.mask_special_regions(kept))
+    assert [r["special"] for r in paragraphs.orderBy("para_seq").collect()].count("formula") == 1 and paragraphs.where("text = '2'").count() == 0
+    crop = reflow.crops(paragraphs).first()
+    assert (crop["page"], crop["x0"], crop["x1"], crop["zoom"]) == (0, 6.0, 304.0, 200 / 72)
+
+
+def test_items_without_a_reference_have_no_metric(spark):
+    from quire.operators import metrics
+
+    made = spark.createDataFrame([("a", "x"), ("b", "y")], "item string, text string")
+    got = metrics.boundary_f1(made, made.where("item = 'a'"), ["item"], made.select("item"))
+    assert {r["item"]: r["f1"] for r in got.collect()} == {"a": 1.0, "b": None}
+
+
+def test_dropped_paragraphs_are_told(spark):
+    from quire.operators import noise
+
+    rows = spark.createDataFrame([(1, 0, "English text", True), (1, 0, "中文", False), (1, 0, "More of it", False)], "doc_id int, article_index int, text string, is_heading boolean")
+    kept, lost = noise.english_paragraphs(rows, spark.createDataFrame([(1, 0, "t" * 60)], "doc_id int, article_index int, title string"))
+    assert [(r["text"], r["is_heading"]) for r in kept.collect()] == [("English text", True), ("More of it", False)]
+    assert lost.first().asDict() == {"doc_id": 1, "article_index": 0, "n_dropped": 1, "title": "t" * 40, "severity": "info"}
+
+
 def test_pdf_source_says_what_is_missing(spark):
     if not pdf.available():
         try:

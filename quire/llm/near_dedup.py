@@ -161,10 +161,36 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(make, f"id {kind}, shingles array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def united(links: DataFrame) -> DataFrame:
+    """(id, component) of a bounded number of settled links, in one pass of one task."""
+    kind = links.schema["u"].dataType.simpleString()
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict = {}
+
+        def root(x):
+            while (up := least.setdefault(x, x)) != x:
+                least[x] = x = least[up]
+            return x
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = root(u), root(v)
+                least[max(a, b)] = min(a, b)
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), kinds), pa.array([root(x) for x in list(least)], kinds)], names=["id", "component"])
+
+    return links.coalesce(1).mapInArrow(unite, f"id {kind}, component {kind}")
+
+
+def components(edges: DataFrame, most: int = 200_000) -> DataFrame:
     """(u, v) links to (id, component): the least id reachable, by alternating large and small stars until only stars are left: every u has one
-    v, and no v is a u. Links that are such stars already need no round."""
+    v, and no v is a u. Links that are such stars already need no round; up to `most` links, counted, a single task unites them, with the same result."""
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    if now.limit(most + 1).count() <= most:
+        return settle(united(now))
     while True:
         ends = now.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"))
         if ends.join(now.select(F.col("v").alias("u"), F.lit(True).alias("hub")).distinct(), "u", "left").where("a <> b or hub").isEmpty():

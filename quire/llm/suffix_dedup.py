@@ -11,10 +11,15 @@ A byte goes if a string of `length` bytes that covers it also starts earlier: in
    both are merged. Neighbours in the array with `length` equal bytes form groups; all but the first of a group are covered.
 3. Spans. The covered strings of a document are united and cut out.
 
-A class with many members is dealt out again by the strings' hashes, and each task sends one of equal strings only.
+A passage that many documents share makes a class of any size. Each task sends its earliest of equal runs only, and covers the others at once. A class with many
+members that still differ is dealt out again by the strings' hashes, in parts that hold `crowd` members times the strings of a run at most, and each
+task sends one of equal strings. Buckets are as many as the bytes of all texts ask for, so what a task holds doesn't grow with the table.
 
-Defined results: null and empty texts have 0 bytes and nothing removed; a null id comes before all others; rows that share an id are one place,
-and share what is covered; an empty table gives an empty result. Matches never cross documents.
+The suffixes are sorted class by class, and not all in one order: equal strings are of one class, so nothing is lost, and a class fits a task.
+
+Defined results: null and empty texts have 0 bytes and nothing removed; rows with a null id come before all others; different texts of one id, or of none, are
+documents of their own, in an order of their hashes; equal rows are one document, and none of them is earlier; an empty table gives an empty
+result. Matches never cross documents. Runs of one class are compared by 64-bit hashes of their text, what is suffix-sorted by its bytes.
 """
 
 from __future__ import annotations
@@ -26,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import load, settle_table
+from quire.llm.common import load, settle, settle_table
 from quire.llm.near_dedup import mixed
 
 U = np.uint64
 GRAM = 32
-NULL_ID = -(2**63)
+#: Bytes of text whose runs make a bucket.
+BUCKET_BYTES = 16 << 20
 BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -67,8 +73,8 @@ def least_in_window(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def chunks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Documents in the order of their ids, up to `most` bytes at once."""
-    ids = [NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
+    """Documents in the order of their ids, up to `most` bytes at once, or one text."""
+    ids = batch.column(0).to_pylist()
     texts = batch.column(1)
     order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
     names, held, size = [], [], 0
@@ -85,7 +91,7 @@ def chunks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list[bytes]
 
 
 def runs_of(ids: list, texts: list[bytes], length: int, powers: Powers):
-    """Runs of starts by anchor, in the order of (id, start): class, text hash, id, first start, starts less one, anchor's place."""
+    """Runs of starts by anchor, in the order of (id, start): class, text hash, id, first start, starts less one."""
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     n = len(raw)
@@ -112,10 +118,10 @@ def runs_of(ids: list, texts: list[bytes], length: int, powers: Powers):
     doc = np.searchsorted(edge, lo, side="right") - 1
     # documents without a byte share their edge with the next one; the last of equal edges holds the bytes
     text = powers.hashes(sums, lo, hi + length) + mixed((at - lo).astype(np.uint64))
-    return mixed(grams[at]), text, np.array(ids, np.int64)[doc], (lo - edge[doc]).astype(np.int32), (hi - lo).astype(np.uint8), (at - lo).astype(np.uint8)
+    return mixed(grams[at]), text, np.array(ids, np.int64)[doc], (lo - edge[doc]).astype(np.int32), (hi - lo).astype(np.uint16)
 
 
-ROW = [("class", "<u8"), ("text", "<u8"), ("id", "<i8"), ("lo", "<i4"), ("n", "u1")]
+ROW = [("class", "<u8"), ("text", "<u8"), ("id", "<i8"), ("lo", "<i4"), ("n", "<u2")]
 
 
 def packed(columns) -> bytes:
@@ -144,28 +150,57 @@ def spans(ids, lo, stop, cls=None, members=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=SPANS)
 
 
-def firsts(key: np.ndarray) -> np.ndarray:
-    """True where a key occurs for the first time."""
-    out = np.zeros(len(key), bool)
-    out[np.unique(key, return_index=True)[1]] = True
-    return out
+def first_of(key: np.ndarray) -> np.ndarray:
+    """For each place the first one that has its key."""
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    return first[which]
+
+
+class Earliest:
+    """Of runs that a task has met more than once: their keys, and the earliest place it has sent. Dropped when it holds `most`."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self.key, self.id, self.lo = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def covers(self, key: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        if not len(self.key):
+            return np.zeros(len(key), bool)
+        return (self.key[at] == key) & ((self.id[at] < ids) | ((self.id[at] == ids) & (self.lo[at] < lo)))
+
+    def learn(self, key: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> None:
+        if len(self.key) + len(key) > self.most:
+            self.__init__(self.most)
+        every = [np.concatenate(x) for x in ((self.key, key), (self.id, ids), (self.lo, lo))]
+        order = np.lexsort((every[2], every[1], every[0]))
+        first = np.ones(len(order), bool)
+        first[1:] = every[0][order][1:] != every[0][order][:-1]
+        self.key, self.id, self.lo = (x[order][first] for x in every)
 
 
 def anchored(docs: DataFrame, id_col: str, text_col: str, length: int, buckets: int, most: int = 2 << 20) -> DataFrame:
     """Covered runs (class null), and the runs that have to be sorted, with the number of different ones in their class."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, sent = Powers(), Earliest()
         for batch in batches:
             for ids, texts in chunks(batch, most):
                 found = runs_of(ids, texts, length, powers)
                 if found is None:
                     continue
-                cls, text, doc, lo, n, _ = found
-                one = firsts(mixed(cls * BASE + text))
+                cls, text, doc, lo, n = found
+                key = mixed(cls * BASE + text)
+                begun = first_of(key)
+                again = begun != np.arange(len(key))
+                same = again & (doc == doc[begun]) & (lo == lo[begun])  # a row that repeats
+                one = ~again & ~sent.covers(key, doc, lo)
+                if again.any():
+                    repeated = one & np.isin(key, key[again])
+                    sent.learn(key[repeated], doc[repeated], lo[repeated])
                 rows: list[tuple[int, bytes, bool]] = []
                 if not one.all():
-                    rows.append((int(cls[0]) % buckets, packed([c[~one] for c in (cls, text, doc, lo, n)]), True))
+                    rows.append((int(cls[0]) % buckets, packed([c[~one & ~same] for c in (cls, text, doc, lo, n)]), True))
                 cls, text, doc, lo, n = (c[one] for c in (cls, text, doc, lo, n))
                 bucket = (cls >> U(24)) % U(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -184,8 +219,10 @@ def anchored(docs: DataFrame, id_col: str, text_col: str, length: int, buckets:
         new_text = new_class.copy()
         new_text[1:] |= text[1:] != text[:-1]
         stop = lo + n.astype(np.int32) + length
-        if not new_text.all():
-            yield spans(doc[~new_text], lo[~new_text], stop[~new_text])
+        begun = np.maximum.accumulate(np.where(new_text, np.arange(len(cls)), 0))
+        gone = (doc != doc[begun]) | (lo != lo[begun])
+        if gone.any():
+            yield spans(doc[gone], lo[gone], stop[gone])
         which = np.cumsum(new_class) - 1
         members = np.bincount(which[new_text], minlength=which[-1] + 1 if len(which) else 0)
         sort = new_text & (members[which] > 1)
@@ -283,22 +320,19 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int, first_key
         same[a : a + step] = (text[x[:, None] + reach] == text[y[:, None] + reach]).all(axis=1)
     group = np.cumsum(~same)
     k = index[order]
-    by = np.lexsort((first_key[k], group))
     out = np.zeros(len(starts), bool)
-    later = np.ones(len(by), bool)
-    later[0] = False
-    later[1:] = group[by][1:] == group[by][:-1]
-    out[k[by][later]] = True
+    begins = np.flatnonzero(np.diff(group, prepend=-1))
+    out[k] = first_key[k] > np.minimum.reduceat(first_key[k], begins)[np.cumsum(np.diff(group, prepend=-1) > 0) - 1]
     return out
 
 
-SEGMENT = [("class", "<u8"), ("sub", "<u4"), ("subs", "<u4"), ("id", "<i8"), ("lo", "<i4"), ("n", "u1")]
+SEGMENT = [("class", "<u8"), ("sub", "<u4"), ("subs", "<u4"), ("id", "<i8"), ("lo", "<i4"), ("n", "<u2")]
 
 
 def sorted_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, length: int, buckets: int, crowd: int = 2000, most: int = 1 << 19) -> DataFrame:
     """Covered strings among the runs that have to be sorted."""
     wanted = runs.groupBy("id").agg(F.collect_list(F.struct("lo", "stop", "class", "members")).alias("runs"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -306,7 +340,7 @@ def sorted_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, le
             ids, texts, found = (batch.column(c) for c in ("id", "text", "runs"))
             out: dict[int, list[tuple]] = {}
             local: list[tuple] = []
-            known: set[tuple[int, int]] = set()
+            known: dict[tuple[int, int], tuple[int, int]] = {}
             for k in np.argsort(ids.to_numpy(), kind="stable").tolist():
                 doc, raw = ids[k].as_py(), (texts[k].as_py() or "").encode()
                 for run in sorted(found[k].as_py(), key=lambda r: r["lo"]):
@@ -319,11 +353,10 @@ def sorted_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, le
                         h = string_hashes(np.frombuffer(piece, np.uint8), length, powers)
                         fresh = []
                         for at, x in enumerate(h.tolist()):
-                            if (cls, x) in known:
-                                local.append((doc, lo + at))
-                            else:
-                                known.add((cls, x))
+                            if known.setdefault((cls, x), (doc, lo + at)) == (doc, lo + at):
                                 fresh.append(x % subs)
+                            else:
+                                local.append((doc, lo + at))
                         which = sorted(set(fresh))
                     for sub in which:
                         out.setdefault((cls * 31 + sub * 0x9E3779B1) % 2**64 % buckets, []).append((cls, sub, subs, doc, lo, stop - lo - length, piece))
@@ -366,8 +399,10 @@ def sorted_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, le
                 mine = h % subs[owner].astype(np.uint64) == sub[owner]
                 start, owner, offset = start[mine], owner[mine], offset[mine]
             where = lo[owner] + offset
+            by = np.lexsort((where, doc[owner]))
+            step = (np.diff(doc[owner][by], prepend=0) != 0) | (np.diff(where[by], prepend=0) != 0)
             rank = np.empty(len(start), np.int64)
-            rank[np.lexsort((where, doc[owner]))] = np.arange(len(start))
+            rank[by] = np.cumsum(step)
             gone = repeated_starts(piece, start, length, rank)
             if gone.any():
                 yield joined(doc[owner][gone], where[gone], length)
@@ -410,45 +445,63 @@ def joined(ids: np.ndarray, lo: np.ndarray, length: int) -> pa.RecordBatch:
     return spans(ids[first], lo[first], lo[last] + length)
 
 
-def covered_spans(docs: DataFrame, id_col="doc_id", text_col="text", length: int = 100) -> DataFrame:
-    """(id, lo, stop): strings of bytes that also start earlier; they may overlap. ids are whole numbers."""
-    if length < GRAM:
-        raise ValueError(f"length must be {GRAM} or more")
-    buckets = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = settle_table(anchored(docs, id_col, text_col, length, buckets))
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """((id, text, place), bytes of all texts). place orders the documents: the id, or where ids are null or stand for several texts, a number by id and
+    hash of the text."""
+    number, own = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    each = docs.groupBy(number.alias("id")).agg(F.min(own).alias("a"), F.max(own).alias("b"), F.sum(F.octet_length(text_col)).alias("bytes"))
+    whole, odd = each.agg(F.sum("bytes"), F.bool_or(F.col("id").isNull() | (F.col("a") != F.col("b")))).first()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not odd:
+        return rows.withColumn("place", F.col("id").cast("long")), whole or 0
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select(number.alias("n"), own.alias("h")).distinct().repartitionByRange(parts, "n", "h").sortWithinPartitions("n", "h")
+    texts = settle(texts.withColumn("place", F.monotonically_increasing_id()))
+    joined = rows.join(texts, F.col("id").cast("long").eqNullSafe(F.col("n")) & (F.xxhash64("text") == F.col("h")))
+    return joined.select("id", "text", "place"), whole or 0
+
+
+def covered_spans(rows: DataFrame, whole: int, length: int) -> DataFrame:
+    """Of numbered() rows: (id, lo, stop) by place, strings of bytes that also start earlier; they may overlap."""
+    if not GRAM <= length < 1 << 16:
+        raise ValueError(f"length must be {GRAM} or more, and below 65,536")
+    buckets = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // (4 * BUCKET_BYTES)))
+    found = settle_table(anchored(rows, "place", "text", length, buckets))
     sort = found.where(F.col("class").isNotNull())
-    more = settle_table(sorted_runs(docs, sort, id_col, text_col, length, buckets))
+    more = settle_table(sorted_runs(rows, sort, "place", "text", length, buckets))
     return found.where(F.col("class").isNull()).unionByName(more).select("id", "lo", "stop")
 
 
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int = 100) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): kept holds the bytes that remain."""
-    gone = covered_spans(docs, id_col, text_col, length).groupBy(F.col("id").alias("gone_id")).agg(F.collect_list(F.struct("lo", "stop")).alias("spans"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(gone, F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)) == F.col("gone_id"), "left")
+    rows, whole = numbered(docs, id_col, text_col)
+    gone = covered_spans(rows, whole, length).groupBy(F.col("id").alias("gone")).agg(F.collect_list(F.struct("lo", "stop")).alias("spans"))
+    rows = rows.join(gone, F.col("place") == F.col("gone"), "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def one(raw: bytes, found: pa.ListScalar) -> tuple[int, int, int, bytes]:
+        kept, at, removed, count = [], 0, 0, 0
+        if found.is_valid:
+            lo, stop = (np.minimum(e.to_numpy(), len(raw)) for e in found.values.flatten())
+            order = np.argsort(lo, kind="stable")
+            lo, stop = lo[order], np.maximum.accumulate(stop[order])
+            new = np.ones(len(lo), bool)
+            new[1:] = lo[1:] > stop[:-1]
+            first = np.flatnonzero(new)
+            for a, b in zip(lo[first].tolist(), stop[np.append(first[1:], len(lo)) - 1].tolist()):
+                if b > a:
+                    kept.append(raw[at:a])
+                    at, removed, count = b, removed + b - a, count + 1
+        kept.append(raw[at:])
+        return len(raw), removed, count, b"".join(kept)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column("text"), batch.column("spans")):
-                raw = (text.as_py() or "").encode()
-                kept, at, removed, count = [], 0, 0, 0
-                edges = found.values.flatten() if found.is_valid else None
-                if edges is not None:
-                    lo, stop = (np.minimum(e.to_numpy(), len(raw)) for e in edges)
-                    order = np.argsort(lo, kind="stable")
-                    lo, stop = lo[order], np.maximum.accumulate(stop[order])
-                    new = np.ones(len(lo), bool)
-                    new[1:] = lo[1:] > stop[:-1]
-                    first = np.flatnonzero(new)
-                    for a, b in zip(lo[first].tolist(), stop[np.append(first[1:], len(lo)) - 1].tolist()):
-                        if b > a:
-                            kept.append(raw[at:a])
-                            at, removed, count = b, removed + b - a, count + 1
-                kept.append(raw[at:])
-                out.append((len(raw), removed, count, b"".join(kept)))
-            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                out = [one((text.as_py() or "").encode(), found) for text, found in zip(part.column("text"), part.column("spans"))]
+                cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *cols], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return rows.select("id", "text", "spans").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 

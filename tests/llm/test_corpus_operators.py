@@ -145,9 +145,10 @@ def test_pairs_at_the_threshold_share_a_bucket(size):
     assert met >= tries - 1, met
 
 
-def test_long_chains_are_one_component(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_long_chains_are_one_component(spark, most):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)], "u long, v long")
-    got = {r["id"]: r["component"] for r in near_dedup.components(edges).collect()}
+    got = {r["id"]: r["component"] for r in near_dedup.components(edges, most=most).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
 
 
@@ -285,6 +286,7 @@ def test_crowded_classes_are_dealt_again(spark):
     texts = {i: "".join(random.Random(i % 7).choices("abcd", k=90)) + "The same middle of some length that all of these share, word for word, on and on." + "".join(random.Random(i).choices("abcd", k=90)) for i in range(60)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     found = suffix_dedup.settle_table(suffix_dedup.anchored(docs, "doc_id", "text", 100, 16))
+    assert found.where("class is not null").count() > 0
     more = suffix_dedup.sorted_runs(docs, found.where("class is not null"), "doc_id", "text", 100, 16, crowd=5, most=2000)
     gone = collections.defaultdict(set)
     for r in found.where("class is null").unionByName(more).collect():
@@ -292,6 +294,53 @@ def test_crowded_classes_are_dealt_again(spark):
     assert {i: len(gone[i]) for i in texts} == {i: x[1] for i, x in removed(texts, 100).items()}
 
 
+def low_passage():
+    """32 bytes whose hash is low, so that nearly every window over them has them for its anchor."""
+    rng = np.random.default_rng(2)
+    text = rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 4_000_000)
+    powers = suffix_dedup.Powers()
+    sums = powers.sums(text)
+    grams = (sums[32:] - sums[:-32]) * powers.down[: len(text) - 31]
+    grams ^= grams >> np.uint64(31)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    at = int(grams.argmin())
+    return text[at : at + 32].tobytes().decode()
+
+
+def test_a_class_of_thirty_thousand_texts(spark):
+    r, passage = random.Random(5), low_passage()
+    side = lambda: "".join(r.choices("abcdefgh ", k=90))
+    few = [side() for _ in range(400)]
+    texts = {i: r.choice(few) + passage + r.choice(few) for i in range(30_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).select("id", "n_removed", "n_spans").collect()}
+    assert got == {i: x[1:3] for i, x in removed(texts, 100).items()}
+
+
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    a, b = "".join(random.Random(1).choices("abcd ", k=300)), "".join(random.Random(2).choices("abcd ", k=300))
+    rows = [(None, a), (None, a), (None, b), (None, None), (5, a), (6, b[:200] + "x" + a[50:]), (7, "short"), (7, "short"), (8, a * 3), (9, "z" * 90 + b), (9, "z" * 90 + b), (9, "y" * 99)]
+    got = collections.Counter((r["id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == {(None, 300, 0): 3, (None, 0, 0): 1, (5, 300, 300): 1, (6, 451, 450): 1, (7, 5, 0): 2, (8, 900, 900): 1, (9, 390, 300): 2, (9, 99, 0): 1}
+
+
+def test_suffix_dedup_of_rows_that_repeat(spark):
+    """Without other odd ids: equal rows keep their text, and what is later than both goes."""
+    a = "".join(random.Random(1).choices("abcd ", k=300))
+    rows = [(2, a), (2, a), (1, "x" * 20 + a[:150]), (4, a[100:]), (4, a[100:])] + [(k, a[k:]) for k in range(10, 40)]
+    for parts in (1, 4):
+        got = collections.Counter((r["id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect())
+        assert got == {(1, 0): 1, (2, 150): 2, (4, 200): 2, **{(k, 300 - k): 1 for k in range(10, 40)}}
+
+
+def test_long_lengths_fit_a_run(spark):
+    r = random.Random(4)
+    shared = "".join(r.choices("abcdefgh ", k=900))
+    texts = {i: "".join(r.choices("abcdefgh ", k=200)) + shared[i * 7 :] for i in range(12)}
+    got = {x["id"]: x["n_removed"] for x in suffix_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), length=500).collect()}
+    assert got == {i: x[1] for i, x in removed(texts, 500).items()}
+
+
 def test_suffix_array():
     for seed in range(40):
         r = random.Random(seed)

@@ -105,8 +105,29 @@ def tree(g: np.ndarray, h: np.ndarray, leaves: int, ridge: float) -> np.ndarray:
     return out
 
 
+def pair_tree(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
+    """Step for each cell of a grid, of the best tree that cuts one feature and then the other on either side; both cuts are sought at once, as an interaction
+    need not show in the first alone."""
+    best, out = -1.0, np.zeros_like(g)
+    worth = lambda a, b: float(a.sum() ** 2 / (b.sum() + ridge))
+    for axis in (0, 1):
+        gs, hs = (g, h) if axis == 0 else (g.T, h.T)
+        for k in range(1, len(gs)):
+            gain, leaves = 0.0, []
+            for side in (slice(0, k), slice(k, len(gs))):
+                more, cut = best_cut(gs[side].sum(axis=0), hs[side].sum(axis=0), ridge)
+                gain += more + worth(gs[side], hs[side])
+                leaves += [(side, slice(0, cut)), (side, slice(cut, None))]
+            if gain > best:
+                best, step = gain, np.zeros_like(gs)
+                for leaf in leaves:
+                    step[leaf] = gs[leaf].sum() / (hs[leaf].sum() + ridge)
+                out = step if axis == 0 else step.T
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, most_bins: int = 64, rounds: int = 150, rate: float = 0.15, leaves: int = 3, pairs: int = 6, pair_bins: int = 8, ridge: float = 2.0) -> Model:
-    """Cyclic boosting of the features' tables, then of the tables of the strongest pairs."""
+    """Cyclic boosting of the features' tables by shallow trees, then of the tables of the strongest pairs, by trees over both features."""
     model = Model()
     if not len(y):
         return model
@@ -133,25 +154,31 @@ def fit(x: np.ndarray, y: np.ndarray, most_bins: int = 64, rounds: int = 150, ra
     cells = lambda f, k, v: np.bincount(coarse[f] * pair_bins + coarse[k], v, pair_bins**2)
     strength = sorted(((float((cells(f, k, g) ** 2 / (cells(f, k, h) + ridge)).sum()), f, k) for f, k in itertools.combinations(range(x.shape[1]), 2)), reverse=True)
     chosen = [(f, k, np.zeros(pair_bins**2)) for _, f, k in strength[:pairs]]
-    for _ in range(rounds // 3):
+    grid = (pair_bins, pair_bins)
+    for _ in range(rounds // 2):
         for f, k, table in chosen:
             g, h = left()
-            step = rate * cells(f, k, g) / (cells(f, k, h) + 4 * ridge)
+            step = rate * pair_tree(cells(f, k, g).reshape(grid), cells(f, k, h).reshape(grid), 4 * ridge).ravel()
             table += step
             total += step[coarse[f] * pair_bins + coarse[k]]
     for f, k, table in chosen:
-        grid = table.reshape(pair_bins, pair_bins)
         of = [np.minimum(np.arange(len(model.tables[i])) * pair_bins // len(model.tables[i]), pair_bins - 1) for i in (f, k)]
-        model.pairs.append((f, k, grid[np.ix_(*of)]))
+        model.pairs.append((f, k, table.reshape(grid)[np.ix_(*of)]))
     return model
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, x)"""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vector(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["id", "x"])
+        for part in parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vector(t.as_py()) for t in part.column(1)], pa.list_(pa.float64()))], names=["id", "x"])
 
     return docs.select(id_col, text_col).mapInArrow(make, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
 
@@ -173,9 +200,9 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
     """(id, score)"""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([vector(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["id", "score"])
+        for part in parts(batches):
+            x = np.array([vector(t.as_py()) for t in part.column(1)]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(x))], names=["id", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(make, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
 

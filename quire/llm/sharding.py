@@ -4,7 +4,8 @@ Several metadata dimensions are quantised, the rows are sorted by the index on t
 of equal numbers of rows (law `rows`) or of equal bytes (law `bytes`). Each run is a shard, so a shard covers a compact box of the
 dimensions, and readers can skip shards by the least and greatest values of any of them.
 
-The order is total: curve index, then a checksum of the text (equal texts stand together), then the id. It is made by one range sort of narrow
+The order is total: curve index, then a checksum of the text, then the id; so equal texts stand together where language, source and length are equal too, and
+only there. It is made by one range sort of narrow
 rows; positions come from counts for each sorted partition, so no task sees all rows and the texts are not moved to find the shards.
 
 Defined results: null dimensions fall into cell 0; a null text has 8 bytes and checksum 0; rows that are equal in id and text are
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import load, settle, small
+from quire.llm.common import free_prefix, load, settle, small, without
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -115,11 +116,32 @@ def shard_plan(docs: DataFrame, dims: list[tuple[str, str]], id_col="doc_id", te
 
 
 def write_shards(docs: DataFrame, path: str, dims: list[tuple[str, str]], id_col="doc_id", **options) -> DataFrame:
-    """Write the rows as one folder of Parquet a shard, sorted by slot; docs must not repeat an id. Returns the plan."""
-    plan = settle(shard_plan(docs, dims, id_col, **options).select(F.col("id").alias(id_col), "shard", "slot"))
-    rows = docs.join(plan, id_col).repartitionByRange(docs.sparkSession.sparkContext.defaultParallelism * 3, "shard", "slot")
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return plan
+    """Write the rows as one folder of Parquet a shard, sorted by slot. Returns the plan.
+
+    Rows of one id, or of none, meet the plan by the checksum of their text as well, and equal ones by their number among these, which may stand for
+    either. A column of docs that is named shard or slot is replaced."""
+    text_col = options.get("text_col", "text")
+    plan = settle(shard_plan(docs, dims, id_col, **options))
+    own = free_prefix("shard__", docs.columns)
+    key = [F.col("id").alias(f"{own}id"), F.col("text_crc32").alias(f"{own}crc")]
+    kept = without(docs.columns, ["shard", "slot"])
+    rows = docs.withColumn(f"{own}id", F.col(id_col)).withColumn(f"{own}crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    place = plan.select(*key, "shard", "slot")
+    odd = plan.groupBy("id", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select(*key)
+    odd = settle(odd)
+    right = place.select(*(F.col(c).alias(f"{own}{n}") for c, n in ((f"{own}id", "p_id"), (f"{own}crc", "p_crc"), ("shard", "p_shard"), ("slot", "p_slot"))))
+    of = lambda c: F.col(f"{own}{c}")
+    if odd.isEmpty():
+        joined = rows.join(right, (of("id") == of("p_id")) & (of("crc") == of("p_crc")))
+    else:
+        number = lambda a, b, *by: F.row_number().over(Window.partitionBy(of(a), of(b)).orderBy(*by))
+        left = rows.withColumn(f"{own}k", number("id", "crc", F.xxhash64(*kept)))
+        right = right.withColumn(f"{own}p_k", number("p_id", "p_crc", of("p_shard"), of("p_slot")))
+        joined = left.join(right, of("id").eqNullSafe(of("p_id")) & (of("crc") == of("p_crc")) & (of("k") == of("p_k")))
+    joined = joined.select(*kept, of("p_shard").alias("shard"), of("p_slot").alias("slot"))
+    joined = joined.repartitionByRange(docs.sparkSession.sparkContext.defaultParallelism * 3, "shard", "slot")
+    joined.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return plan.select(F.col("id").alias(id_col), "shard", "slot")
 
 
 #: Fixed values of the query: dimensions and their quantisation.

@@ -205,6 +205,19 @@ def test_sharding(docs, empty, law, tmp_path):
         assert back.count() == len(rows) and set(docs.columns) <= set(back.columns)
 
 
+def test_shards_of_repeated_and_null_ids(spark, tmp_path):
+    """Ties in every key: nothing is lost or doubled, and slots have no gaps."""
+    rows = [(1, "a b", "en", "s", 3, "x")] * 5 + [(None, f"t{k % 3}", "de", None, 2, "y") for k in range(9)] + [(2, None, None, None, None, "z"), (2, "other", "en", "s", 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, SLOT string")
+    sharding.write_shards(docs, str(tmp_path / "odd"), sharding.DIMS, shards=3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in back.collect()) == collections.Counter(r[:2] for r in rows)
+    slots = collections.defaultdict(list)
+    for r in back.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 3
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)], "clash") for i in range(400)]
@@ -458,6 +471,16 @@ def test_classifier_learns_and_labels_are_no_inputs(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[5000] == got[5001]
 
 
+def test_classifier_on_odd_rows(spark):
+    """A text of a million characters, equal texts with either label, a repeated label, null ids."""
+    rows = [(k, "same words again and again", k % 2) for k in range(40)] + [(100, "long " * 200_000, 1), (None, "no id", 1), (101, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    labels = docs.select("doc_id", "quality").unionByName(docs.select("doc_id", "quality").where("doc_id < 3"))
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.score(docs, model).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["id"] is not None and r["id"] < 40}) == 1 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_classifier_without_labels(docs, empty):
     model = quality_classifier.train(docs, docs.sparkSession.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality_classifier.score(docs, model).collect()} == {0.5}

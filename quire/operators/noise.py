@@ -27,6 +27,16 @@ def running_copies(lines: DataFrame) -> Column:
     return (F.length("text") <= 60) & (F.min("page").over(same) != F.max("page").over(same)) & (first > 1)
 
 
+def copies(lines: DataFrame) -> DataFrame:
+    """The rows that running_copies marks, where "documents" are so large that one text may be most of them: the best copy is an aggregate, and a join
+    brings it back, which Spark splits where a key is crowded."""
+    key = ["doc_id", "text"]
+    rank = F.struct((-F.col("font_size")).alias("size"), "page", "y0", "line_seq")
+    short = lines.where(F.length("text") <= 60)
+    best = short.groupBy(*key).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min(rank).alias("best")).where("first_page <> last_page").select(*key, "best")
+    return short.join(best, key).where(rank != F.col("best")).drop("best")
+
+
 def body_sizes(lines: DataFrame) -> DataFrame:
     """(doc_id, body_size): the upper median of the type sizes, each weighing its characters."""
     sizes = lines.groupBy("doc_id", "font_size").agg(F.sum(F.length("text")).alias("n"))

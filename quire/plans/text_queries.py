@@ -89,7 +89,7 @@ def running_headers(spark, sf_dir):
     """A source is the publication and a document a page of it."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "source")
     rows = lines(spark, sf_dir).drop("page").join(docs, "doc_id").withColumnRenamed("doc_id", "page").withColumnRenamed("source", "doc_id")
-    return rows.withColumn("copy", noise.running_copies(rows)).where("copy").select(F.col("doc_id").alias("source"), "page", "line_seq")
+    return noise.copies(rows).select(F.col("doc_id").alias("source"), "page", "line_seq")
 
 
 BODY_SQL = """sizes AS (SELECT doc_id, font_size, sum(length(text)) AS n FROM lines GROUP BY doc_id, font_size),

@@ -6,7 +6,7 @@ a fresh one opened. Windows still open at the end of a task are leftovers. They
 then laid end to end in each last task and cut at the window size, so that only the last window of a task is short.
 
 Defined results: a null text counts as empty, one piece that holds the closing id alone; repeated rows are packed each; an empty table gives an
-empty result. A text of any length is cut into windows; it is the most that a task holds at once, beside 1 MB of others. A row that is tokenized again after a lost executor goes to the same place, as its partition is read in the same order.
+empty result. A text of any length is cut into windows; it is the most that a task holds at once, beside 500 rows of others. A row that is tokenized again after a lost executor goes to the same place, as its partition is read in the same order.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Encoder
-from quire.llm.common import load, settle_table
+from quire.llm.common import arrow_rows, load, settle_table
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task long, window long, offset long, open boolean, ids binary"
 #: Pieces that are held before they go on, 4 KB each at most where ids are kept.
-FLUSH = 1000
+FLUSH = 500
+#: Documents of an Arrow batch.
+ROWS = 500
 
 
 class Windows:
@@ -62,7 +64,7 @@ class Windows:
         self.room = []
 
 
-def encoded(encode: Encoder, batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple]:
+def encoded(encode: Encoder, batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple]:
     """(id, ids) of each row of (id, text), in parts of about `most` bytes or one row, so that no batch is held as strings as a whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
     edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most, prepend=-1))
@@ -124,17 +126,20 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 1024, op
         if id_type is not None:
             yield flushed(id_type)
 
-    first = settle_table(docs.select(id_col, text_col).mapInArrow(pieces_of, schema))
+    with arrow_rows(docs.sparkSession, ROWS):
+        first = settle_table(docs.select(id_col, text_col).mapInArrow(pieces_of, schema))
     done = [first.where(~F.col("open")).withColumn("level", F.lit(0))]
     rest = first.where("open")
     tasks, level = 1 + (first.agg(F.max("task")).first()[0] or 0), 1
     while tasks > 1:  # each round gathers the leftovers of fan_in tasks
         tasks = -(-tasks // fan_in)
-        rest = settle_table(merged(rest, schema, size, open_windows, tasks, last=tasks == 1, keep_ids=keep_ids, fan_in=fan_in))
+        with arrow_rows(docs.sparkSession, ROWS):
+            rest = settle_table(merged(rest, schema, size, open_windows, tasks, last=tasks == 1, keep_ids=keep_ids, fan_in=fan_in))
         done.append(rest.where(~F.col("open")).withColumn("level", F.lit(level)))
         rest, level = rest.where("open"), level + 1
     if level == 1:
-        rest = settle_table(merged(rest, schema, size, open_windows, 1, last=True, keep_ids=keep_ids, fan_in=fan_in))
+        with arrow_rows(docs.sparkSession, ROWS):
+            rest = settle_table(merged(rest, schema, size, open_windows, 1, last=True, keep_ids=keep_ids, fan_in=fan_in))
         done.append(rest.where(~F.col("open")).withColumn("level", F.lit(level)))
     packed = done[0]
     for more in done[1:]:

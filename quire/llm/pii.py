@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import let, load, settle, small
+from quire.llm.common import let, load, settle, small, without
 
 #: Titles by gender, and name parts by gender and script.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "x": ["Dr", "Prof"]}
@@ -302,8 +302,8 @@ def hashed_again(docs: DataFrame, text_col: str, key: str, most: int = 60) -> Da
     raise RuntimeError("surrogates collide after all rounds: more entities than their format has forms")
 
 
-def replace(docs: DataFrame, key: str, text_col="text") -> DataFrame:
-    """docs with the text rewritten and the column pii_entities, the number of mentions. key: a secret; who has it can make the same surrogates."""
+def replace(docs: DataFrame, key: str, text_col="text", count="pii_entities") -> DataFrame:
+    """docs with the text rewritten and the column `count`, the number of mentions. key: a secret; who has it can make the same surrogates."""
     text = F.col(text_col)
     each = lambda mention: entities(told(text, mention))
     again = settle(hashed_again(docs, text_col, key))
@@ -327,7 +327,7 @@ def replace(docs: DataFrame, key: str, text_col="text") -> DataFrame:
     parts = scanned(text)[1]
     written = F.array_join(F.zip_with(parts, F.col("pii__found"), lambda a, m: F.concat(a, F.when(m.isNull(), F.lit("")).otherwise(new(m)))), "")
     rows = rows.withColumn("pii__new", F.when(F.size("pii__found") > 0, written).otherwise(text)).withColumn("pii__count", F.greatest(F.size(F.col("pii__found")), F.lit(0)).cast("long"))
-    return rows.select(*(F.col("pii__new").alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() != "pii_entities"), F.col("pii__count").alias("pii_entities"))
+    return rows.select(*(F.col("pii__new").alias(c) if c == text_col else F.col(c) for c in without(docs.columns, [count])), F.col("pii__count").alias(count))
 
 
 def key_of(spark: SparkSession) -> str:

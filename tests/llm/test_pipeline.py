@@ -30,6 +30,20 @@ def stages(spark, tmp_path_factory):
     return str(at), out
 
 
+def test_an_empty_table_and_columns_of_any_name(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rules__kept string, pii_entities string, mix_size string, Kept string, id string, n long"
+    rows = [(k, " ".join(words(70 + k, k)) + " a@b.example.com", "en", "s", 9, "a", "b", "c", "d", "e", 7) for k in range(30)] + [(None, None, None, None, None, *"abcde", 7), (40, "", "en", None, 0, *"abcde", 7)]
+    for name, held in (("empty", []), ("odd", rows)):
+        spark.createDataFrame(held, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs.columns
+            stage(spark, docs, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+            assert k == 4 or docs.columns == before and all(tuple(r)[5:] == (*"abcde", 7) for r in docs.collect())
+        assert (docs.count() == 0) == (name == "empty")
+
+
 def texts(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 

@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; n_chars follows the text. A null text stays null, with null n_chars."""
-    return replace(docs, key_of(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return replace(docs, key_of(spark), count=free_prefix("pii_entities", docs.columns)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,8 +172,7 @@ def test_token_counts(docs, empty, most_nodes):
     for i, t in TEXTS.items():
         parts = token_counts.PRETOKEN.findall(t.encode())
         assert b"".join(parts) == t.encode()
-        if len(t) < 3000:
-            assert got[i] == (len(t.encode()), len(parts), sum(best_split(p, scores, unknown) for p in parts))
+        assert got[i] == (len(t.encode()), len(parts), sum(best_split(p, scores, unknown) for p in parts))
     assert token_counts.token_counts(empty).count() == 0
 
 
@@ -197,7 +196,13 @@ def test_sharding(docs, empty, law, tmp_path):
     if law == "rows":
         assert {len(s) for s in by.values()} <= {len(rows) // 24, len(rows) // 24 + 1} and len(by) == 24
     ordered = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
-    assert [r["hilbert"] for r in ordered] == sorted(r["hilbert"] for r in rows)
+    plain = sorted(rows, key=lambda r: (r["hilbert"], r["text_crc32"], r["id"]))
+    assert [r["id"] for r in ordered] == [r["id"] for r in plain]
+    if law == "bytes":  # a row belongs to the shard that holds its middle byte
+        whole, before = sum(r["size"] for r in rows), 0
+        for r in plain:
+            assert r["shard"] == min((2 * before + r["size"]) * 24 // (2 * whole), 23)
+            before += r["size"]
     assert sharding.shard_plan(empty, sharding.DIMS, law=law).count() == 0
     if law == "rows":
         sharding.write_shards(docs, str(tmp_path / "out"), sharding.DIMS)
@@ -415,6 +420,70 @@ def test_estimates_resist_outliers(spark):
     assert d2 > 100
 
 
+def plain_estimate(x, share=0.75, steps=6):
+    """The minimum covariance determinant of one group by the same steps, on all rows at once."""
+    floor, p = 24.0, x.shape[1]
+
+    def shape(rows, factor):
+        m = rows.mean(axis=0)
+        return m, factor * ((rows.T @ rows) / len(rows) - np.outer(m, m)) + floor**2 * np.eye(p)
+
+    def far(m, c):
+        z = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
+        return (z**2).sum(axis=0)
+
+    point = quality_rules.chi2_point(share, p // 2)
+    factor = share / quality_rules.chi2_even(point, p // 2 + 1)
+    q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    found = []
+    for m, c in (shape(x, 1.0), (q2, np.diag(np.maximum((q3 - q1) / 1.349, floor) ** 2))):
+        for _ in range(steps):
+            bins = np.floor(16 * np.log2(1 + far(m, c))).astype(int)
+            order = np.sort(np.unique(bins))
+            before = np.array([(bins < b).sum() for b in order])
+            m, c = shape(x[np.isin(bins, order[before < share * len(x)])], factor)
+        found.append((np.linalg.slogdet(c)[1], m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    return shape(x[far(m, c) <= quality_rules.chi2_point(0.975, p // 2)], 0.975 / quality_rules.chi2_even(quality_rules.chi2_point(0.975, p // 2), p // 2 + 1))
+
+
+def test_the_verdict_is_that_of_a_plain_estimate(spark):
+    """Two languages and three sources, one of them too small for an estimate of its own."""
+    r = random.Random(11)
+    rows = []
+    for k in range(520):
+        lang, source = r.choice(["en", "de"]), r.choice(["a", "a", "b"]) if k > 30 else "rare"
+        text = words(r.randint(55, 260), k)
+        for _ in range(r.choice([0, 0, 0, 1, 4, 60])):
+            text[r.randrange(len(text))] += r.choice(["#", "***", "%&"])
+        if k % 9 == 0:
+            text = [w * r.choice([1, 3, 6]) for w in text]
+        if k % 11 == 0:
+            text += text[: r.randint(3, 40)]
+        rows.append((k, " ".join(text), lang, source))
+    rows += [(1000 + k, "too short", "en", "a") for k in range(5)]
+    out = [x.asDict() for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()]
+    live = [x for x in out if not x["base_failed"]]
+    raw = lambda x: (x["n_words"], x["word_chars"], x["n_symbols"], x["n_repeat_words"])
+    of = lambda n, chars, symbols, repeat: [math.log1p(n), 2 * math.log(chars / n), math.log1p(200 * symbols / chars), math.log1p(20 * repeat / n)]
+    points = {x["doc_id"]: np.array([math.floor(64 * v + 0.5) for v in of(*raw(x))], float) for x in live}
+    groups = collections.defaultdict(list)
+    for x in live:
+        for level in ((x["lang"], x["source"]), (x["lang"],), ()):
+            groups[level].append(points[x["doc_id"]])
+    known = {level: plain_estimate(np.array(g)) for level, g in groups.items() if len(g) >= 80}
+    assert ("en", "rare") not in known and ("en", "a") in known
+    verdicts = collections.Counter()
+    for x in live:
+        m, c = next(known[level] for level in ((x["lang"], x["source"]), (x["lang"],), ()) if level in known)
+        d = points[x["doc_id"]] - m
+        d2 = float(d @ np.linalg.solve(c, d))
+        assert x["distance2"] == pytest.approx(d2, rel=1e-6)
+        assert x["kept"] == (d2 <= quality_rules.chi2_point(1 - 1e-7, 2))
+        verdicts[x["kept"]] += 1
+    assert verdicts[False] > 5 and verdicts[True] > 300 and not any(x["kept"] for x in out if x["base_failed"])
+
+
 def test_outliers_are_rejected_and_clean_texts_kept(spark):
     rows = [(k, " ".join(words(80 + k % 50, k)), "en", "a") for k in range(200)] + [(1000 + k, "*** ".join(words(90, k)), "en", "a") for k in range(20)]
     got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
@@ -665,5 +734,22 @@ def test_every_query_block_is_met(spark):
         assert tuple(got) == (wide, wide, 0, wide - 1)
 
 
+def test_a_very_long_text_through_every_operator(spark):
+    long = " ".join(words(120_000, 3)) + " Frau Anna Berg, anna@mail.example.org\n"
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, long, "en", "s"), (3, "a short one " * 30, "en", "s")], "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    n = len(long.split())
+    assert {(r["id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    cut = {r["id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert cut[2] == (len(long.encode()),) * 2 and cut[1][1] < 1000
+    assert {r["id"]: r["n_bytes"] for r in token_counts.token_counts(docs).collect()}[1] == len(long.encode())
+    assert sum(r["size"] for r in sharding.shard_plan(docs, sharding.DIMS).collect()) == 2 * (len(long) + 8) + 368
+    assert {r["doc_id"]: (r["n_words"], r["base_failed"]) for r in quality_rules.judge(docs).collect()}[1] == (n, False)
+    rows = packing.pack(docs).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 1) > n
+    assert {r["doc_id"]: r["mix_size"] for r in mixing.mix(docs).collect()}[1] == n
+    texts = {r["doc_id"]: r["text"] for r in pii.replace(docs, KEY).collect()}
+    assert texts[1] == texts[2] and texts[1].split()[:120_000] == long.split()[:120_000] and "Berg" not in texts[1] and "anna@" not in texts[1]
+
+
 def test_removed_bytes_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -1,6 +1,6 @@
-"""Order-dependent computations over one document's rows at a time.
+"""Order-dependent computations over the rows of one document, or one page, at a time.
 
-Rows are gathered by document in one shuffle, in their order, and a plain function walks them; documents are bounded (a publication's lines), and
+Rows are gathered in one shuffle, in their order, and a plain function walks them; documents are bounded (a publication's lines), and
 batches go through Arrow, so the cost of a document is its rows and not a call.
 """
 
@@ -18,6 +18,8 @@ from quire.sources.scratch import shared_folder
 
 #: Rows that a walk holds before they go on.
 FLUSH = 5000
+#: Groups that become Python objects at once.
+GROUPS = 16
 
 
 def per_document(df: DataFrame, keys: list[str], order: list[str], walk: Callable[[list[dict]], list[dict]], out: str) -> DataFrame:
@@ -31,8 +33,7 @@ def per_document(df: DataFrame, keys: list[str], order: list[str], walk: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[dict] = []
-            for at in range(batch.num_rows):  # one group at a time becomes Python objects
-                row = batch.slice(at, 1).to_pylist()[0]
+            for row in (row for at in range(0, batch.num_rows, GROUPS) for row in batch.slice(at, GROUPS).to_pylist()):
                 held = {k: row[k] for k in keys}
                 for x in walk(row["rows"]):
                     found.append(held | x)

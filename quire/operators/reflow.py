@@ -20,10 +20,8 @@ def middle(values: list[float]) -> float:
 
 def column_numbers(rows: list[dict]) -> list[dict]:
     """From left to right: a line joins the last column if it starts near its rightmost start or left of its usual end."""
-    out, page, number, starts, ends = [], None, -1, 0.0, []
+    out, number, starts, ends = [], -1, 0.0, []
     for r in rows:
-        if r["page"] != page:
-            page, number, ends = r["page"], -1, []
         joins = bool(ends) and (r["x0"] - starts <= COLUMN_GAP or r["x0"] <= middle(ends) - 1.0)
         if joins:
             starts = max(starts, r["x0"])
@@ -36,7 +34,7 @@ def column_numbers(rows: list[dict]) -> list[dict]:
 
 def columns(lines: DataFrame) -> DataFrame:
     """lines with col (from 0 on each page) and pos, the place in the column."""
-    found = numbered(lines, ["doc_id"], ["page", "x0", "line_seq"], column_numbers, "col int")
+    found = numbered(lines, ["doc_id", "page"], ["x0", "line_seq"], column_numbers, "col int")
     inside = Window.partitionBy("doc_id", "page", "col").orderBy("y0", "x0", "line_seq")
     return found.withColumn("pos", F.row_number().over(inside) - 1)
 

@@ -14,11 +14,9 @@ TABLE_TEXT = "[table omitted]"
 
 def band_numbers(rows: list[dict]) -> list[dict]:
     """Rows by the y0 of their first line: a line within the tolerance of it joins."""
-    out, page, first, band, place = [], None, 0.0, -1, 0
+    out, first, band, place = [], rows[0]["y0"], 0, 0
     for r in rows:
-        if r["page"] != page:
-            page, first, band, place = r["page"], r["y0"], 0, 0
-        elif abs(r["y0"] - first) > TOLERANCE:
+        if abs(r["y0"] - first) > TOLERANCE:
             first, band, place = r["y0"], band + 1, 0
         out.append({"band": band, "place": place})
         place += 1
@@ -27,7 +25,7 @@ def band_numbers(rows: list[dict]) -> list[dict]:
 
 def row_bands(lines: DataFrame) -> DataFrame:
     """lines with band (from 0 on each page) and place in the band."""
-    return numbered(lines, ["doc_id"], ["page", "y0", "x0", "line_seq"], band_numbers, "band int, place int")
+    return numbered(lines, ["doc_id", "page"], ["y0", "x0", "line_seq"], band_numbers, "band int, place int")
 
 
 def table_spans(banded: DataFrame) -> DataFrame:

@@ -224,18 +224,24 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     sets = settle_table(
         filled.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
     )
+    del filled
+    tidy(docs.sparkSession)  # what the sets were grouped with
     bits = [f"p{i}" for i in range(PARITY)]
     members = sets.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id", "n")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     live = members.join(crowded, "bucket")
     shown = sets.select("id", *(F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(bits)))
     live = settle(live.join(shown, "id").withColumn("comp", F.col("id")))
+    del members, crowded, shown
+    tidy(docs.sparkSession)  # all members of all buckets
     shingles = links = tested = comps = None
     centres, turn = 1, 0
     while not live.isEmpty():
         if shingles is None:
             held = live.select(F.col("id").alias(id_col)).distinct()
             shingles = settle_table(full_sets(docs.select(id_col, text_col).join(held, id_col, "left_semi"), id_col, text_col, k))
+            del held
+            tidy(docs.sparkSession)
         placed = live.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(centres)))
         chosen = settle(placed.groupBy("bucket", "part").agg(F.min(F.struct("id", "n", "comp", *bits)).alias("c")))
         differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c.{p}"))) for p in bits[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("c.p0"))))
